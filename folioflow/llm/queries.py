@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bpe, sharding
+from folioflow.llm import bpe, langid, sharding, simhash
 from folioflow.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the labelled documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text and the bytes that they decode to, as digests."""
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded").drop("text")
@@ -27,7 +33,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_byte_bpe)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_byte_bpe, op7_simhash)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {}
