@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioflow.llm import bpe, langid, sharding, simhash
+from folioflow.llm import bpe, langid, phrases, sharding, simhash
 from folioflow.llm.common import table
 
 
@@ -39,7 +42,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_byte_bpe, op7_simhash)}
+def _removal(text: str, kept: list[bytes] | None) -> tuple[int, int, str]:
+    words = text.encode().split()
+    left = words if kept is None else kept
+    return len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that a smaller doc_id holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    return phrases.edit(docs, phrases.repeats(docs), _removal, fields).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_byte_bpe, op7_simhash, op9_substring_dedup)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {}
