@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import folioflow
 
@@ -16,6 +17,8 @@ import folioflow
 cloudpickle.register_pickle_by_value(folioflow)
 
 MASK64 = (1 << 64) - 1
+#: Words of 64 bits in a bitmap of keys, whatever the input's size: 4 MB as rows.
+BITMAP_WORDS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,3 +77,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """At most ``BITMAP_WORDS`` rows ``_word``, ``_bits``: which hashes of keys are there."""
+    return _places(keys, key).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+
+
+def _places(df: DataFrame, key: str) -> DataFrame:
+    h = F.xxhash64(F.col(key))
+    return df.withColumns({"_word": F.pmod(h, F.lit(BITMAP_WORDS)), "_bit": F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")})
+
+
+def split(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in the bitmap, and the others. The bitmap has a fixed size and is broadcast."""
+    marked = _places(df, key).join(F.broadcast(bits), "_word", "left")
+    there = F.col("_bits").isNotNull() & F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1")
+    clean = lambda x: x.drop("_word", "_bit", "_bits")
+    return clean(marked.where(there)), clean(marked.where(~F.coalesce(there, F.lit(False))))

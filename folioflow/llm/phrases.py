@@ -33,14 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import MASK64, cut, mix64, shuffle_partitions, texts, worker_cache
+from folioflow.llm.common import MASK64, bitmap, cut, mix64, shuffle_partitions, split, texts, worker_cache
 
 WINDOW = 50
 PHRASE = 10
 #: Phrases of one automaton, on average at most.
 AUTOMATON = 20_000
-#: Words of 64 bits in the bitmap of documents to read again: 4 MB as rows.
-BITMAP_WORDS = 1 << 18
 #: Entries of the memo of word hashes; a full memo is emptied.
 MEMO = 500_000
 
@@ -117,24 +115,6 @@ def scan(docs: DataFrame, doc_id: str, text: str, window: int, phrase: int) -> D
     return rows.mapInArrow(run, f"doc {kind}, tag long, whole string, anchors array<long>").where("size(anchors) > 0")
 
 
-def bitmap(ids: DataFrame, doc_id: str) -> DataFrame:
-    """At most ``BITMAP_WORDS`` rows ``_word``, ``_bits``: which hashes of ids are there."""
-    return _places(ids, doc_id).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
-
-
-def _places(df: DataFrame, doc_id: str) -> DataFrame:
-    h = F.xxhash64(F.col(doc_id))
-    return df.withColumns({"_word": F.pmod(h, F.lit(BITMAP_WORDS)), "_bit": F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")})
-
-
-def split(df: DataFrame, doc_id: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose id may be in the bitmap, and the others. The bitmap has a fixed size and is broadcast."""
-    marked = _places(df, doc_id).join(F.broadcast(bits), "_word", "left")
-    there = F.col("_bits").isNotNull() & F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1")
-    clean = lambda x: x.drop("_word", "_bit", "_bits")
-    return clean(marked.where(there)), clean(marked.where(~F.coalesce(there, F.lit(False))))
-
-
 def locate(docs: DataFrame, visits: DataFrame, salts: DataFrame, doc_id: str, text: str, window: int, phrase: int, n: int) -> DataFrame:
     """Windows round the occurrences of recurring phrases: ``doc``, ``tag`` and arrays of start, hash and check."""
     kind = docs.schema[doc_id].dataType.simpleString()

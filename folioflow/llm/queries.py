@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm import bpe, langid, phrases, sharding, simhash
-from folioflow.llm.common import table
+from folioflow.llm import bpe, htmltext, langid, phrases, sharding, simhash, warc
+from folioflow.llm.common import checkpoint_dir, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +58,54 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.edit(docs, phrases.repeats(docs), _removal, fields).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_byte_bpe, op7_simhash, op9_substring_dedup)}
+def _drop(path: str) -> None:
+    with contextlib.suppress(OSError):
+        system, folder = warc.opened(path)
+        system.delete_dir(folder)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, after they were written to the shared folder and read again."""
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    atexit.register(_drop, path)
+    warc.write(warc.captures(table(spark, sf_dir, "pages")), path)
+    stored = F.col("record_type") == "response"
+    return warc.read(spark, path).select(
+        warc.page_of("record_id").alias("page_id"),
+        F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(stored, F.sha1("payload")).otherwise(F.expr("substring(payload_digest, 6)")).alias("payload_digest"),
+        "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_byte_bpe, op7_simhash, op8_warc, op9_substring_dedup, op10_html_text)}
 
 #: DuckDB SQL where SQL can express a query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+     m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM m
+""",
+    "op9_substring_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     n AS (SELECT doc_id, w, len(w) AS n FROM d),
+     s AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+           FROM (SELECT doc_id, w, unnest(range(1, n - 48)) AS i FROM n WHERE n >= 50)),
+     f AS (SELECT h, min(doc_id) AS least FROM s GROUP BY h),
+     g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM s JOIN f USING (h) WHERE doc_id > least),
+     r AS (SELECT doc_id, list(k) AS ks, count(*) AS n_removed FROM g GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_words, coalesce(r.n_removed, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN r.ks IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(r.ks, k)) END, ' ')) AS kept_sha256
+FROM n LEFT JOIN r USING (doc_id)
+""",
+}
