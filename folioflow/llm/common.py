@@ -17,6 +17,8 @@ import folioflow
 cloudpickle.register_pickle_by_value(folioflow)
 
 MASK64 = (1 << 64) - 1
+#: Bases of rolling hashes, any odd numbers.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Words of 64 bits in a bitmap of keys, whatever the input's size: 4 MB as rows.
 BITMAP_WORDS = 1 << 18
 
@@ -79,6 +81,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd base, modulo 2**64; negative bases mean the inverse's."""
+    cache = worker_cache()
+    known = cache.get(("powers", base))
+    if known is None or len(known) < n:
+        step = np.full(max(n, 1 << 14), pow(-base, -1, MASK64 + 1) if base < 0 else base, np.uint64)
+        step[0] = 1
+        known = cache["powers", base] = np.multiply.accumulate(step)
+    return known[:n]
+
+
+class Rolling:
+    """Hashes of any ranges of one sequence of numbers."""
+
+    def __init__(self, hashes: np.ndarray, base: int):
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers(base, len(hashes)), dtype=np.uint64)))
+        self.back = powers(-base, len(hashes))
+
+    def at(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return mix64((self.sums[starts + size] - self.sums[starts]) * self.back[starts])
+
+
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
     """At most ``BITMAP_WORDS`` rows ``_word``, ``_bits``: which hashes of keys are there."""
     return _places(keys, key).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))

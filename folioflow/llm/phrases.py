@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import MASK64, bitmap, cut, mix64, shuffle_partitions, split, texts, worker_cache
+from folioflow.llm.common import BASES, Rolling, bitmap, cut, shuffle_partitions, split, texts, worker_cache
 
 WINDOW = 50
 PHRASE = 10
@@ -42,9 +42,6 @@ AUTOMATON = 20_000
 #: Entries of the memo of word hashes; a full memo is emptied.
 MEMO = 500_000
 
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-
-
 class Words(dict):
     """Hash of each word (bytes)."""
 
@@ -61,28 +58,6 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of an odd base, modulo 2**64; negative bases mean the inverse's."""
-    cache = worker_cache()
-    known = cache.get(("powers", base))
-    if known is None or len(known) < n:
-        step = np.full(max(n, 1 << 14), pow(-base, -1, MASK64 + 1) if base < 0 else base, np.uint64)
-        step[0] = 1
-        known = cache["powers", base] = np.multiply.accumulate(step)
-    return known[:n]
-
-
-class Rolling:
-    """Hashes of any word ranges of one document."""
-
-    def __init__(self, hashes: np.ndarray, base: int):
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers(base, len(hashes)), dtype=np.uint64)))
-        self.back = powers(-base, len(hashes))
-
-    def at(self, starts: np.ndarray, size: int) -> np.ndarray:
-        return mix64((self.sums[starts + size] - self.sums[starts]) * self.back[starts])
-
-
 def anchors(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the phrases that stand for the document's windows."""
     if len(hashes) < window:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm import bpe, htmltext, langid, phrases, sharding, simhash, warc
+from folioflow.llm import bpe, fingerprints, htmltext, langid, licenses, phrases, sharding, simhash, warc
 from folioflow.llm.common import checkpoint_dir, table
 
 
@@ -39,6 +39,22 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every whole text and of its edited text, and their likeness."""
+    return fingerprints.with_next(table(spark, sf_dir, "documents"), fingerprints.compare, fingerprints.FIELDS)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements of every whole text."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").cast("long").alias("first_word"), F.array_max("base.start").cast("long").alias("last_word"),
+        joined(F.col("base.label")).alias("base_labels"), joined(F.concat("base.label", "detections.label")).alias("labels"),
+        F.greatest(F.coalesce(F.array_max("detections.confidence"), F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0)).alias("score"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -83,7 +99,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_byte_bpe, op7_simhash, op8_warc, op9_substring_dedup, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_byte_bpe, op5_lz_fingerprint, op6_license_scan, op7_simhash, op8_warc, op9_substring_dedup, op10_html_text)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {
