@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm import bpe, fingerprints, htmltext, langid, licenses, phrases, sharding, simhash, warc
+from folioflow.llm import bpe, decontaminate, fingerprints, htmltext, langid, licenses, phrases, sharding, simhash, warc
 from folioflow.llm.common import checkpoint_dir, table
 
 
@@ -39,6 +39,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents, verbatim or with other parameters."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every whole text and of its edited text, and their likeness."""
     return fingerprints.with_next(table(spark, sf_dir, "documents"), fingerprints.compare, fingerprints.FIELDS)
@@ -99,7 +104,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_byte_bpe, op5_lz_fingerprint, op6_license_scan, op7_simhash, op8_warc, op9_substring_dedup, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_byte_bpe, op4_decontamination, op5_lz_fingerprint, op6_license_scan, op7_simhash, op8_warc, op9_substring_dedup, op10_html_text)}
 
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {
