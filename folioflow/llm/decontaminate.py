@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioflow.llm.common import BASES, Rolling, texts, worker_cache
+from folioflow.llm import common
+from folioflow.llm.common import BASES, Rolling, cut, split, texts, worker_cache
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -202,7 +203,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
         F.min("first").cast("long").alias("first_word"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item; those with a null doc_id stay."""
-    held = matches(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents that hold no item; those with a null doc_id stay. Only those that may go are shuffled."""
+    held = cut(matches(docs, benchmark, doc_id, **options).select(F.col(doc_id).alias("_held")).distinct())
+    maybe, rest = split(docs, doc_id, common.bitmap(held, "_held"))
+    return rest.unionByName(maybe.join(held, F.col(doc_id) == F.col("_held"), "left_anti"))

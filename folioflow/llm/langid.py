@@ -156,3 +156,18 @@ def held_out(doc_id: str = "doc_id"):
 def identify(docs: DataFrame) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, learned from the labelled documents that aren't held out."""
     return predict(docs, learn(docs.where(~held_out()).select("text", "lang")))
+
+
+#: A text of so many letters whose score stays below the least one is in no language that was learned.
+ENOUGH_LETTERS, LEAST_SCORE = 100, 0.1
+
+
+def accepted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents in a learned language, learned from all labelled ones; the columns stay as they are.
+
+    Texts without a letter go, and long ones that resemble no language; short texts stay in doubt.
+    """
+    scored = predict(docs, learn(docs.select(text, lang), text, lang), text, "_lang", "_score")
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    doubtful = (F.col("_lang") == UNDETERMINED) | ((F.col("_score") < LEAST_SCORE) & (letters >= ENOUGH_LETTERS))
+    return scored.where(~doubtful).drop("_lang", "_score")

@@ -27,15 +27,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioflow.llm.common import cut, texts
+from folioflow.llm.common import bitmap, cut, split, texts
 from folioflow.llm.components import components
 
+SHINGLE = 3
 LOW_BITS = 35
 BUCKET = 64
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """Bits that are set in over half of the shingles' hashes (XXH64, seed 42)."""
     words = text.encode("utf-8", "replace").lower().split()  # on bytes both mean ASCII only
     if not words:
@@ -52,16 +54,16 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, of every row."""
-    kind = df.schema[doc_id].dataType.simpleString()
+def fingerprints(df: DataFrame, text: str = "text", fp: str = "fp") -> DataFrame:
+    """``df`` with ``fp``, the fingerprint as a signed long, in place of its text column."""
+    kept = [f for f in df.schema.fields if f.name not in (text, fp)]
 
     def run(batches):
         for batch in batches:
-            made = np.fromiter((fingerprint(x, shingle) for x in texts(batch, text)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(made.view(np.int64))], names=[doc_id, "fp"])
+            made = np.fromiter((fingerprint(x) for x in texts(batch, text)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(made.view(np.int64))], names=[*(f.name for f in kept), fp])
 
-    return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, fp long")
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField(fp, T.LongType())]))
 
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -91,15 +93,32 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def groups(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``, the smallest doc_id reachable over links."""
+    """``prints`` with ``component_id``, the smallest doc_id reachable over links of ``fp``, and ``root``, a name of the group."""
     prints = cut(prints)
     distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("_least")))
     found = components(links(distinct.select("fp")), "a", "b").withColumnRenamed("node", "fp")
     rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(doc_id, "fp", "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    return groups(fingerprints(df, text, doc_id, shingle), doc_id)
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` of every row."""
+    return groups(fingerprints(df.select(doc_id, text), text), doc_id).select(doc_id, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each group: that of the smallest doc_id, of several such that of the smallest text hash, once.
+
+    Only rows that go, or that repeat, are joined; a bitmap of fixed size tells the others, which aren't shuffled.
+    """
+    row = F.xxhash64(doc_id, text)
+    found = cut(groups(fingerprints(docs.select(doc_id, text, row.alias("_row")), text), doc_id))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id), F.col("_row"))).alias("keep"))
+    marked = found.groupBy("root", "_row").count().join(first, "root").withColumn("stays", F.col("_row") == F.col("keep._row"))
+    touched = cut(marked.where(~F.col("stays") | (F.col("count") > 1)).groupBy(F.col("_row").alias("_touched")).agg(F.max("stays").alias("stays")))
+    maybe, rest = split(docs.withColumn("_row", row), "_row", bitmap(touched, "_touched"))
+    joined = maybe.join(touched, F.col("_row") == F.col("_touched"), "left")
+    others = joined.where("_touched IS NULL").select(rest.columns)
+    once = joined.where("stays").dropDuplicates(["_row"]).select(rest.columns)
+    return rest.unionByName(others).unionByName(once).drop("_row")
