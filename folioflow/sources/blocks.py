@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = T.StructType.fromDDL(
-    "page int, block_idx int, bbox array<double>, text string, size double, color array<double>, font string, x0 double, y0 double, x1 double, "
-    "y1 double, width double, height double, line_count int, reading_order int")
+REALS = T.ArrayType(T.DoubleType())
+
+
+def _fields(kinds: dict) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for kind, names in kinds.items() for name in names.split()])
+
+
+SPAN = _fields({T.StringType(): "text font", T.DoubleType(): "size", T.IntegerType(): "color"})
+LINE = T.StructType([T.StructField("bbox", REALS), T.StructField("spans", T.ArrayType(SPAN))])
+RAW = T.StructType([T.StructField("doc_id", T.StringType()), *_fields({T.IntegerType(): "page block_no type"}), T.StructField("bbox", REALS), T.StructField("lines", T.ArrayType(LINE))])
+BLOCK = T.StructType([*_fields({T.IntegerType(): "page block_idx"}), T.StructField("bbox", REALS), T.StructField("text", T.StringType()), T.StructField("size", T.DoubleType()),
+                      T.StructField("color", REALS), T.StructField("font", T.StringType()), *_fields({T.DoubleType(): "x0 y0 x1 y1 width height"}),
+                      *_fields({T.IntegerType(): "line_count reading_order"})])
 TRANSLATED = T.StructType([*BLOCK.fields, T.StructField("original_text", T.StringType()), T.StructField("segment_kind", T.StringType())])
-SPAN = "struct<text: string, font: string, size: double, color: int>"
-RAW = T.StructType.fromDDL(f"doc_id string, page int, block_no int, type int, bbox array<double>, lines array<struct<bbox: array<double>, spans: array<{SPAN}>>>")
 
 
 def read_blocks(spark: SparkSession, path: str, translated: bool = False) -> DataFrame:
