@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 
@@ -17,6 +19,8 @@ import folioflow
 cloudpickle.register_pickle_by_value(folioflow)
 
 MASK64 = (1 << 64) - 1
+#: Rows and bytes of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bases of rolling hashes, any odd numbers.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Words of 64 bits in a bitmap of keys, whatever the input's size: 4 MB as rows.
@@ -53,16 +57,50 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_folioflow_worker_cache", {})
 
 
+def memo(name: str, make):
+    """A large table that the worker keeps while tasks ask for it by this name; a task that runs without it drops it."""
+    cache = worker_cache()
+    if cache.get("memo", (None,))[0] != name:
+        cache["memo"] = (name, make())
+    return cache["memo"][1]
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, which counts it against the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema, uses: str | None = None) -> DataFrame:
+    """``mapInArrow`` in batches small enough for a worker, whatever the length of the texts.
+
+    ``uses`` names the memo that ``run`` asks for; a worker that has another one drops it first.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def task(batches):
+        if worker_cache().get("memo", (None,))[0] != uses:
+            worker_cache().pop("memo", None)
+            _trim()
+        yield from run(batches)
+        _trim()
+
+    return df.mapInArrow(task, schema)
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list:
     """The strings of a column, null as empty."""
     return [x if x is not None else "" for x in batch.column(name).to_pylist()]
 
 
-def chunks(values: list, limit: int = 4 << 20):
-    """Index ranges of ``values`` whose summed length stays near ``limit`` characters (one value at least)."""
+def chunks(values: list, limit: int = 4 << 20, most: int = 1000):
+    """Index ranges of at most ``most`` values whose summed length stays near ``limit`` characters (one value at least)."""
     start = total = 0
     for i, v in enumerate(values):
-        if i > start and total + len(v) > limit:
+        if i > start and (total + len(v) > limit or i - start >= most):
             yield start, i
             start, total = i, 0
         total += len(v)
@@ -104,18 +142,18 @@ class Rolling:
 
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """At most ``BITMAP_WORDS`` rows ``_word``, ``_bits``: which hashes of keys are there."""
-    return _places(keys, key).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    """At most ``BITMAP_WORDS`` rows ``__word_``, ``__bits_``: which hashes of keys are there."""
+    return _places(keys, key).groupBy("__word_").agg(F.bit_or(F.expr("shiftleft(1L, __bit_)")).alias("__bits_"))
 
 
 def _places(df: DataFrame, key: str) -> DataFrame:
     h = F.xxhash64(F.col(key))
-    return df.withColumns({"_word": F.pmod(h, F.lit(BITMAP_WORDS)), "_bit": F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")})
+    return df.withColumns({"__word_": F.pmod(h, F.lit(BITMAP_WORDS)), "__bit_": F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")})
 
 
 def split(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows whose key may be in the bitmap, and the others. The bitmap has a fixed size and is broadcast."""
-    marked = _places(df, key).join(F.broadcast(bits), "_word", "left")
-    there = F.col("_bits").isNotNull() & F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1")
-    clean = lambda x: x.drop("_word", "_bit", "_bits")
+    marked = _places(df, key).join(F.broadcast(bits), "__word_", "left")
+    there = F.col("__bits_").isNotNull() & F.expr("(shiftrightunsigned(__bits_, __bit_) & 1) = 1")
+    clean = lambda x: x.drop("__word_", "__bit_", "__bits_")
     return clean(marked.where(there)), clean(marked.where(~F.coalesce(there, F.lit(False))))

@@ -33,14 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import BASES, Rolling, bitmap, cut, shuffle_partitions, split, texts, worker_cache
+from folioflow.llm.common import BASES, Rolling, bitmap, cut, map_arrow, memo, shuffle_partitions, split, texts
 
 WINDOW = 50
 PHRASE = 10
 #: Phrases of one automaton, on average at most.
 AUTOMATON = 20_000
 #: Entries of the memo of word hashes; a full memo is emptied.
-MEMO = 500_000
+MEMO = 300_000
+
+WORDS = "word hashes"
+
 
 class Words(dict):
     """Hash of each word (bytes)."""
@@ -53,9 +56,9 @@ class Words(dict):
 
 
 def word_hashes(text: str) -> np.ndarray:
-    memo = worker_cache().setdefault("words", Words())
+    known = memo(WORDS, Words)
     words = text.encode("utf-8", "replace").split()
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +90,11 @@ def scan(docs: DataFrame, doc_id: str, text: str, window: int, phrase: int) -> D
                                              names=["doc", "tag", "whole", "anchors"])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text, F.xxhash64(text).alias("tag"), F.md5(F.col(text).cast("binary")).alias("whole"))
-    return rows.mapInArrow(run, f"doc {kind}, tag long, whole string, anchors array<long>").where("size(anchors) > 0")
+    return map_arrow(rows, run, f"doc {kind}, tag long, whole string, anchors array<long>", WORDS).where("size(anchors) > 0")
 
 
 def locate(docs: DataFrame, visits: DataFrame, salts: DataFrame, doc_id: str, text: str, window: int, phrase: int, n: int) -> DataFrame:
-    """Windows round the occurrences of recurring phrases: ``doc``, ``tag`` and arrays of start, hash and check."""
+    """Windows round the occurrences of recurring phrases: ``doc``, ``tag`` and arrays of hash, check and first start."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def deal(batches):
@@ -127,6 +130,8 @@ def locate(docs: DataFrame, visits: DataFrame, salts: DataFrame, doc_id: str, te
                     automaton.make_automaton()
                     ready = True
                 hashes = word_hashes(row["text"])
+                if len(hashes) < window:
+                    continue
                 ends = np.fromiter((end for end, _ in automaton.iter(spelled(hashes))), np.int64)
                 if not len(ends):
                     continue
@@ -136,40 +141,45 @@ def locate(docs: DataFrame, visits: DataFrame, salts: DataFrame, doc_id: str, te
                 np.add.at(edge, np.clip(ends + 1 - phrase + 1, 0, count), -1)
                 starts = np.flatnonzero(np.cumsum(edge[:-1]))
                 wide, more = (Rolling(hashes, b).at(starts, window) for b in BASES)
-                made.append((row["doc"], row["tag"], starts.astype(np.int32), wide.view(np.int64), (more >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                # A window that the document repeats is told once, at its first start.
+                order = np.lexsort((starts, more, wide))
+                wide, more, starts = wide[order], more[order], starts[order]
+                new = np.concatenate(([True], (wide[1:] != wide[:-1]) | (more[1:] != more[:-1])))
+                made.append((row["doc"], row["tag"], wide[new].view(np.int64), (more[new] >> np.uint64(32)).astype(np.uint32).view(np.int32), starts[new].astype(np.int32)))
             if made:
-                sizes = pa.array(np.cumsum([0, *(len(m[2]) for m in made)]), pa.int32())
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(m[2]) for m in made]))), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], types[2]), pa.array([m[1] for m in made], pa.int64())]
-                                                 + [pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([m[i] for m in made]))) for i in (2, 3, 4)],
-                                                 names=["doc", "tag", "start", "wide", "more"])
+                                                 + [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([m[i] for m in made]))) for i in (2, 3, 4)],
+                                                 names=["doc", "tag", "wide", "more", "start"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = [pa.int32(), pa.int32(), to_arrow_type(docs.schema[doc_id].dataType), pa.int64(), pa.string()]
-    whole = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("tag")).join(visits, ["doc", "tag"])
-    dealt = whole.mapInArrow(deal, f"shard int, kind int, doc {kind}, tag long, text string")
+    whole = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("tag")).join(visits, "doc")
+    dealt = map_arrow(whole, deal, f"shard int, kind int, doc {kind}, tag long, text string", WORDS)
     # One row for each shard; phrases go to every salt of theirs, documents to one.
     salted = dealt.join(F.broadcast(salts), "shard").withColumn(
         "salt", F.explode(F.expr("IF(kind = 0, sequence(0, salts - 1), array(CAST(pmod(xxhash64(doc, tag), salts) AS INT)))"))).drop("salts")
-    return salted.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(
-        search, f"doc {kind}, tag long, start array<int>, wide array<long>, more array<int>")
+    ordered = salted.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    return map_arrow(ordered, search, f"doc {kind}, tag long, wide array<long>, more array<int>, start array<int>", WORDS)
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """``doc``, ``tag`` (hash of the text) and ``starts``: the windows to remove; null starts mean all words."""
+    """``doc``, ``tag`` (hash of the text) and ``starts``: the first starts of the windows to remove, which go wherever they stand in the text; null: all words go."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     scanned = cut(scan(docs, doc_id, text, window, phrase))
     first = scanned.groupBy("whole").agg(F.min("doc").alias("first"))
     marked = scanned.select("doc", "tag", "whole").join(first, "whole")
-    copies = cut(marked.where("doc > first").select("doc", "tag").distinct())
+    copies = cut(marked.where("doc > first").select("doc", "tag"))
     # Copies pass on nothing that the first of them doesn't.
-    once = scanned.join(copies.withColumn("copy", F.lit(True)), ["doc", "tag"], "left").where("copy IS NULL").select("doc", "tag", "anchors")
-    single = once.select("doc", "tag", F.explode("anchors").alias("a"))
+    maybe, rest = split(scanned, "doc", bitmap(copies, "doc"))
+    once = rest.unionByName(maybe.join(copies, ["doc", "tag"], "left_anti"))
+    single = once.select("doc", F.explode("anchors").alias("a"))
     recurring = cut(single.groupBy("a").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("a", "owner"))
     shards = max(n, -(-recurring.count() // AUTOMATON))
     home = f"CAST(pmod(xxhash64(owner), {shards}) AS INT)"
-    visits = cut(single.join(recurring, "a").withColumn("home", F.expr(home)).groupBy("doc", "tag").agg(
-        F.collect_set("home").alias("shards"), F.collect_list(F.expr("IF(doc = owner, a, NULL)")).alias("own"),
+    visits = cut(single.join(recurring, "a").withColumn("home", F.expr(home)).groupBy("doc").agg(
+        F.collect_set("home").alias("shards"), F.collect_set(F.expr("IF(doc = owner, a, NULL)")).alias("own"),
         F.max(F.expr("IF(doc = owner, home, NULL)")).alias("home")))
     loads = visits.select(F.explode("shards").alias("shard")).groupBy("shard").count()
     total = visits.agg(F.sum(F.size("shards"))).first()[0] or 0
@@ -178,19 +188,26 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     windows = cut(locate(again, visits, salts, doc_id, text, window, phrase, n))
     each = windows.select("doc", "tag", F.expr("inline(arrays_zip(wide, more, start))"))
     least = each.groupBy("wide", "more").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").drop("last")
-    gone = each.join(least, ["wide", "more"]).where("doc > least").groupBy("doc", "tag").agg(F.collect_set("start").alias("starts"))
-    return cut(gone.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))))
+    gone = each.join(least, ["wide", "more"]).where("doc > least").select("doc", "tag", "start")
+    both = gone.unionByName(copies.withColumn("start", F.lit(None).cast("int")))
+    return cut(both.groupBy("doc", "tag").agg(F.expr("IF(bool_or(start IS NULL), NULL, collect_set(start))").alias("starts")))
 
 
-def covered(n: int, starts, window: int) -> np.ndarray:
-    """Which of n words the windows at these starts cover; all for None."""
+def covered(text: str, starts, window: int) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text, and which of them are in windows equal to those at ``starts``; all for None."""
+    words = text.encode("utf-8", "replace").split()
     if starts is None:
-        return np.ones(n, bool)
-    edge = np.zeros(n + 1, np.int64)
-    at = np.asarray(starts, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
-    return np.cumsum(edge[:-1]) > 0
+        return words, np.ones(len(words), bool)
+    hashes = word_hashes(text)
+    places = np.arange(len(words) - window + 1)
+    gone = np.ones(len(places), bool)
+    for base in BASES:
+        found = Rolling(hashes, base).at(places, window)
+        gone &= np.isin(found, found[np.asarray(starts, np.int64)])
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, places[gone], 1)
+    np.add.at(edge, places[gone] + window, -1)
+    return words, np.cumsum(edge[:-1]) > 0
 
 
 def edit(docs: DataFrame, found: DataFrame, make, fields: list[T.StructField], doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -207,13 +224,12 @@ def edit(docs: DataFrame, found: DataFrame, make, fields: list[T.StructField], d
     def run(batches):
         for batch in batches:
             rows = texts(batch, text)
-            remove = batch.column("_found").to_pylist() if "_found" in batch.schema.names else [False] * len(rows)
-            starts = batch.column("_starts").to_pylist() if "_starts" in batch.schema.names else [None] * len(rows)
+            remove = batch.column("__found_").to_pylist() if "__found_" in batch.schema.names else [False] * len(rows)
+            starts = batch.column("__starts_").to_pylist() if "__starts_" in batch.schema.names else [None] * len(rows)
             out = []
             for x, there, at in zip(rows, remove, starts):
                 if there:
-                    words = x.encode("utf-8", "replace").split()
-                    gone = covered(len(words), at, window)
+                    words, gone = covered(x, at, window)
                     out.append(make(x, [w for w, g in zip(words, gone.tolist()) if not g]))
                 else:
                     out.append(make(x, None))
@@ -221,7 +237,7 @@ def edit(docs: DataFrame, found: DataFrame, make, fields: list[T.StructField], d
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + columns, names=[*(f.name for f in kept), *names])
 
     maybe, rest = split(docs, doc_id, bitmap(found, "doc"))
-    to = found.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("starts").alias("_starts"), F.lit(True).alias("_found"))
-    joined = maybe.withColumn("_hash", F.xxhash64(text)).join(to, (F.col(doc_id) == F.col("_doc")) & (F.col("_hash") == F.col("_tag")), "left")
-    joined = joined.withColumn("_found", F.coalesce("_found", F.lit(False))).drop("_doc", "_tag", "_hash")
-    return joined.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))
+    to = found.select(F.col("doc").alias("__doc_"), F.col("tag").alias("__tag_"), F.col("starts").alias("__starts_"), F.lit(True).alias("__found_"))
+    joined = maybe.withColumn("__hash_", F.xxhash64(text)).join(to, (F.col(doc_id) == F.col("__doc_")) & (F.col("__hash_") == F.col("__tag_")), "left")
+    joined = joined.withColumn("__found_", F.coalesce("__found_", F.lit(False))).drop("__doc_", "__tag_", "__hash_")
+    return map_arrow(joined, run, schema, WORDS).unionByName(map_arrow(rest, run, schema, WORDS))
