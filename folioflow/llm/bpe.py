@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folioflow.llm.common import chunks, texts, worker_cache
+from folioflow.llm.common import chunks, map_arrow, memo, texts
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-#: Entries kept of each memo; a full memo is emptied, which costs time only.
-MEMO = 1_000_000
+#: Entries of each memo. Pieces of a full one are kept until the next is full, so that frequent ones are encoded once.
+MEMO = 250_000
 
 
 class Codec:
@@ -47,6 +47,7 @@ class Codec:
         self.stable: dict[str, bool] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def merged(self, piece: str) -> list[str]:
         """The definition: merge the adjacent pair of lowest rank until none is left."""
@@ -123,16 +124,17 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text: every match of the pattern by itself."""
-        pieces, out = self.pieces, []
-        extend, get = out.extend, pieces.get
+        out: list[int] = []
+        extend, get = out.extend, self.pieces.get
         for piece in self.split(text):
             ids = get(piece)
             if ids is None:
-                ids = self.encode_piece(piece)
+                ids = self.before.get(piece) or self.encode_piece(piece)
                 if len(piece) <= 64:
-                    if len(pieces) >= MEMO:
-                        pieces.clear()
-                    pieces[piece] = ids
+                    if len(self.pieces) >= MEMO:
+                        self.before, self.pieces = self.pieces, {}
+                        get = self.pieces.get
+                    self.pieces[piece] = ids
             extend(ids)
         return out
 
@@ -157,15 +159,13 @@ def encode(df: DataFrame, text: str = "text", rank_file: str | None = None, patt
     new = [ids] + [decoded] * bool(decoded)
     kept = [f for f in df.schema.fields if f.name not in new]
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
-                          + [T.StructField(decoded, T.BinaryType(), False)] * bool(decoded))
+                          + ([T.StructField(decoded, T.BinaryType(), False)] if decoded else []))
     names = [f.name for f in kept]
 
+    name = f"bpe {path} {pattern}"
+
     def run(batches):
-        cache = worker_cache()
-        key = ("bpe", path, pattern)
-        if key not in cache:
-            cache[key] = Codec(table.value, pattern)
-        codec = cache[key]
+        codec = memo(name, lambda: Codec(table.value, pattern))
         for batch in batches:
             rows = texts(batch, text)
             for a, b in chunks(rows):
@@ -180,4 +180,4 @@ def encode(df: DataFrame, text: str = "text", rank_file: str | None = None, patt
                     columns.append(pa.array([codec.decode(x) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema, name)

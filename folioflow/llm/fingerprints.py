@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioflow.llm.common import BASES, Rolling, mix64, shuffle_partitions, texts
+from folioflow.llm.common import BASES, Rolling, map_arrow, mix64, shuffle_partitions
 
 BINS = 64
 #: Ranges for each shuffle partition, to even out how they fall.
@@ -124,9 +124,9 @@ def with_next(docs: DataFrame, make, fields: list[T.StructField], doc_id: str =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [to_arrow_type(kind), *(to_arrow_type(f.dataType) for f in fields)])],
                                                  names=[doc_id, *(f.name for f in fields)])
 
-    dealt = docs.select(doc_id, text).mapInArrow(deal, schema)
+    dealt = map_arrow(docs.select(doc_id, text), deal, schema)
     ranged = dealt.repartition(n, "range").sortWithinPartitions("range", "ahead", F.col("id").asc_nulls_first(), "text")
-    return ranged.mapInArrow(walk, T.StructType([T.StructField(doc_id, kind), *fields]))
+    return map_arrow(ranged, walk, T.StructType([T.StructField(doc_id, kind), *fields]))
 
 
 def edited(text: str, follower: str) -> str:

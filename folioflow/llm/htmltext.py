@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import texts
+from folioflow.llm.common import map_arrow, texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
@@ -177,4 +177,4 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
             found = pa.array([main_text(x) for x in texts(batch, html)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), found], names=[*(f.name for f in kept), out])
 
-    return pages.select(*(F.col(f"`{f.name}`") for f in kept), html).mapInArrow(run, schema)
+    return map_arrow(pages.select(*(F.col(f"`{f.name}`") for f in kept), html), run, schema)

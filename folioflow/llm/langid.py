@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import chunks, mix64, texts, worker_cache
+from folioflow.llm.common import chunks, map_arrow, mix64, texts, worker_cache
 
 DIMENSIONS = 1024
 UNDETERMINED = "und"
@@ -95,7 +95,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             rows, labels = texts(batch, text), batch.column(lang).to_pylist()
-            for a, b in chunks(rows, 2 << 20):
+            for a, b in chunks(rows, 1 << 19, 250):
                 counts, vectors, sizes = trigram_counts(rows[a:b], dimensions)
                 weights = np.round(WEIGHT / np.maximum(sizes, 1))
                 for name in set(labels[a:b]):
@@ -113,7 +113,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
     schema = "lang string, vector binary"
     known = df.where(F.col(text).isNotNull() & (F.col(lang) != "")).select(text, F.col(lang).cast("string").alias(lang))
     # Two steps, so that no task gets a language's vectors from all partitions.
-    parts = known.mapInArrow(bundle, schema).withColumn("salt", F.spark_partition_id() % 64)
+    parts = map_arrow(known, bundle, schema).withColumn("salt", F.spark_partition_id() % 64)
     sums = parts.groupBy("lang", "salt").applyInPandas(add, schema).groupBy("lang").applyInPandas(add, schema)
     return {r["lang"]: np.frombuffer(r["vector"], np.int64) for r in sums.collect()}
 
@@ -131,7 +131,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
         names, profile = sent.value
         for batch in batches:
             rows = texts(batch, text)
-            for a, b in chunks(rows, 2 << 20):
+            for a, b in chunks(rows, 1 << 19, 250):
                 found, near = [UNDETERMINED] * (b - a), [0.0] * (b - a)
                 if names:
                     counts, vectors, _ = trigram_counts(rows[a:b], profile.shape[1])
@@ -145,7 +145,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [pa.array(found, pa.string()), pa.array(near, pa.float64())],
                                                  names=[*(f.name for f in kept), out, score])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -167,7 +167,7 @@ def accepted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
 
     Texts without a letter go, and long ones that resemble no language; short texts stay in doubt.
     """
-    scored = predict(docs, learn(docs.select(text, lang), text, lang), text, "_lang", "_score")
+    scored = predict(docs, learn(docs.select(text, lang), text, lang), text, "__lang_", "__score_")
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
-    doubtful = (F.col("_lang") == UNDETERMINED) | ((F.col("_score") < LEAST_SCORE) & (letters >= ENOUGH_LETTERS))
-    return scored.where(~doubtful).drop("_lang", "_score")
+    doubtful = (F.col("__lang_") == UNDETERMINED) | ((F.col("__score_") < LEAST_SCORE) & (letters >= ENOUGH_LETTERS))
+    return scored.where(~doubtful).drop("__lang_", "__score_")

@@ -212,26 +212,26 @@ def scan(df: DataFrame, text: str = "text", signatures: list[Rule] | None = None
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, " ")), F.lit(" "))
     table = "array(" + ", ".join(f"named_struct('label', {_text(r.label)}, 'keyword', {_text(r.keyword)}, 'expression', {_text(r.expression)}, "
                                  f"'priority', {r.priority}, 'confidence', {r.confidence}D)" for r in signatures) + ")"
-    starts, ends = _spans("_words", "r.expression")
-    found = (f"flatten(transform(filter({table}, r -> contains(_words, r.keyword)), r -> zip_with({starts}, {ends}, "
+    starts, ends = _spans("__words_", "r.expression")
+    found = (f"flatten(transform(filter({table}, r -> contains(__words_, r.keyword)), r -> zip_with({starts}, {ends}, "
              "(s, e) -> named_struct('start', s, 'back', -e, 'priority', r.priority, 'label', r.label, 'confidence', r.confidence))))")
-    gate = " OR ".join(f"contains(_words, {_text(s)})" for s in stems)
+    gate = " OR ".join(f"contains(__words_, {_text(s)})" for s in stems)
     empty = "filter(array(named_struct('start', 0, 'back', 0, 'priority', 0, 'label', '', 'confidence', 0D)), x -> false)"
     # In order of start, longest first, whatever contains a match stands before it; the fold keeps the farthest end by priority.
     levels = f"array_repeat(-1, {LEVELS})"
     gone = "exists(slice(a.ends, 1, x.priority + 1), e -> e >= -x.back)"
-    fold = (f"aggregate(array_sort(_found), named_struct('ends', {levels}, 'kept', {empty}), (a, x) -> IF({gone}, a, named_struct("
+    fold = (f"aggregate(array_sort(__found_), named_struct('ends', {levels}, 'kept', {empty}), (a, x) -> IF({gone}, a, named_struct("
             "'ends', transform(a.ends, (e, i) -> IF(i = x.priority, greatest(e, -x.back), e)), 'kept', concat(a.kept, array(x)))), a -> a.kept)")
     found_base = []
     for phrase, label in base.items():
-        s, e = _spans("_words", _text(phrase))
-        found_base.append(f"IF(contains(_words, {_text(f' {phrase} ')}), zip_with({s}, {e}, (s, e) -> named_struct('start', s, 'end', e, 'label', {_text(label)})), "
+        s, e = _spans("__words_", _text(phrase))
+        found_base.append(f"IF(contains(__words_, {_text(f' {phrase} ')}), zip_with({s}, {e}, (s, e) -> named_struct('start', s, 'end', e, 'label', {_text(label)})), "
                           "filter(array(named_struct('start', 0, 'end', 0, 'label', '')), x -> false))")
-    out = df.withColumn("_words", words)
+    out = df.withColumn("__words_", words)
     out = out.withColumns({
-        "n_words": F.expr("CAST(IF(_words = '  ', 0, length(_words) - length(replace(_words, ' ', '')) - 1) AS BIGINT)"),
+        "n_words": F.expr("CAST(IF(__words_ = '  ', 0, length(__words_) - length(replace(__words_, ' ', '')) - 1) AS BIGINT)"),
         "base": F.expr(f"concat({', '.join(found_base)})") if found_base else F.expr("array()"),
-        "_found": F.expr(f"IF({gate}, {found}, {empty})"),
+        "__found_": F.expr(f"IF({gate}, {found}, {empty})"),
     })
     out = out.withColumn("detections", F.expr(f"transform({fold}, x -> named_struct('start', x.start, 'end', -x.back, 'label', x.label, 'priority', x.priority, 'confidence', x.confidence))"))
-    return out.drop("_words", "_found")
+    return out.drop("__words_", "__found_")

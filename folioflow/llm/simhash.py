@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import bitmap, cut, split, texts
+from folioflow.llm.common import bitmap, cut, map_arrow, split, texts
 from folioflow.llm.components import components
 
 SHINGLE = 3
@@ -63,7 +63,7 @@ def fingerprints(df: DataFrame, text: str = "text", fp: str = "fp") -> DataFrame
             made = np.fromiter((fingerprint(x) for x in texts(batch, text)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(made.view(np.int64))], names=[*(f.name for f in kept), fp])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(fp, T.LongType())]))
+    return map_arrow(df, run, T.StructType([*kept, T.StructField(fp, T.LongType())]))
 
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -95,10 +95,10 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def groups(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``prints`` with ``component_id``, the smallest doc_id reachable over links of ``fp``, and ``root``, a name of the group."""
     prints = cut(prints)
-    distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("_least")))
+    distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("__least_")))
     found = components(links(distinct.select("fp")), "a", "b").withColumnRenamed("node", "fp")
     rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("__least_").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
@@ -113,12 +113,12 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     Only rows that go, or that repeat, are joined; a bitmap of fixed size tells the others, which aren't shuffled.
     """
     row = F.xxhash64(doc_id, text)
-    found = cut(groups(fingerprints(docs.select(doc_id, text, row.alias("_row")), text), doc_id))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id), F.col("_row"))).alias("keep"))
-    marked = found.groupBy("root", "_row").count().join(first, "root").withColumn("stays", F.col("_row") == F.col("keep._row"))
-    touched = cut(marked.where(~F.col("stays") | (F.col("count") > 1)).groupBy(F.col("_row").alias("_touched")).agg(F.max("stays").alias("stays")))
-    maybe, rest = split(docs.withColumn("_row", row), "_row", bitmap(touched, "_touched"))
-    joined = maybe.join(touched, F.col("_row") == F.col("_touched"), "left")
-    others = joined.where("_touched IS NULL").select(rest.columns)
-    once = joined.where("stays").dropDuplicates(["_row"]).select(rest.columns)
-    return rest.unionByName(others).unionByName(once).drop("_row")
+    found = cut(groups(fingerprints(docs.select(doc_id, text, row.alias("__row_")), text), doc_id))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id), F.col("__row_"))).alias("keep"))
+    marked = found.groupBy("root", "__row_").count().join(first, "root").withColumn("__stays_", F.col("__row_") == F.col("keep.__row_"))
+    touched = cut(marked.where(~F.col("__stays_") | (F.col("count") > 1)).groupBy(F.col("__row_").alias("__touched_")).agg(F.max("__stays_").alias("__stays_")))
+    maybe, rest = split(docs.withColumn("__row_", row), "__row_", bitmap(touched, "__touched_"))
+    joined = maybe.join(touched, F.col("__row_") == F.col("__touched_"), "left")
+    others = joined.where("__touched_ IS NULL").select(rest.columns)
+    once = joined.where("__stays_").dropDuplicates(["__row_"]).select(rest.columns)
+    return rest.unionByName(others).unionByName(once).drop("__row_")
