@@ -29,14 +29,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from folioflow.llm import common
-from folioflow.llm.common import BASES, Rolling, cut, split, texts, worker_cache
+from folioflow.llm.common import BASES, Rolling, cut, map_arrow, memo, split, texts
 
 WINDOW = 5
 SIMILARITY = 0.8
 LITERAL = 2
 #: Words of 64 bits of the bitmap of window hashes.
 BITMAP_WORDS = 1 << 18
-MEMO = 500_000
+MEMO = 400_000
 
 #: Units of measure; a word counts as one right after a number.
 UNITS = frozenset("""mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons tonne tonnes oz ounce ounces lb lbs pound pounds
@@ -52,6 +52,10 @@ _joined = re.compile(r"([$€£¥]?)([-+]?\d+(?:[.,]\d+)*)([a-z°%]*(?:/[a-z]+)?
 
 def read(word: str) -> list[tuple[str, int]]:
     """Tokens of a word and their kinds; UNIT is decided by what stands before."""
+    plain = word.rstrip(".,;:!?")
+    if plain.isalpha():  # most words
+        low = plain.lower()
+        return [(low, UNIT if low in UNITS else NAME if plain[0].isupper() else PLAIN)]
     plain = _strip("", word)
     low = plain.lower()
     if _number(low):
@@ -68,46 +72,55 @@ def read(word: str) -> list[tuple[str, int]]:
     return [(low, NAME if plain[0].isupper() else PLAIN)]
 
 
-class Tokens:
-    """Tables of the words met so far, by number."""
+TOKENS = "tokens"
+
+
+class Tokens(dict):
+    """Numbers of the words met so far, and what each is read as."""
 
     def __init__(self):
+        super().__init__()
         self.reset()
 
     def reset(self):
-        self.number: dict[str, int] = {}
-        self.tokens: list[list[tuple[str, int]]] = []
+        self.clear()
+        self.tokens: list = []  # the token, or all of them where there isn't exactly one
         self.hash = np.zeros(1 << 12, np.uint64)
         self.kind = np.zeros(1 << 12, np.uint8)
 
-    def of(self, word: str) -> int:
-        known = self.number.get(word)
-        if known is None:
-            known = self.number[word] = len(self.tokens)
-            found = read(word)
+    def __missing__(self, word: str) -> int:
+        known = self[word] = len(self.tokens)
+        found = read(word)
+        if known == len(self.hash):
+            self.hash = np.concatenate((self.hash, np.zeros_like(self.hash)))
+            self.kind = np.concatenate((self.kind, np.zeros_like(self.kind)))
+        if len(found) == 1:
+            token, self.kind[known] = found[0]
+            self.hash[known] = xxhash.xxh64_intdigest(token)
+            self.tokens.append(token)
+        else:
+            self.kind[known] = SEVERAL if found else GONE
             self.tokens.append(found)
-            if known == len(self.hash):
-                self.hash = np.concatenate((self.hash, np.zeros_like(self.hash)))
-                self.kind = np.concatenate((self.kind, np.zeros_like(self.kind)))
-            self.kind[known] = SEVERAL if len(found) > 1 else found[0][1] if found else GONE
-            if len(found) == 1:
-                self.hash[known] = xxhash.xxh64_intdigest(found[0][0])
         return known
 
+    def of(self, number: int) -> list[tuple[str, int]]:
+        found = self.tokens[number]
+        return [(found, int(self.kind[number]))] if isinstance(found, str) else found
+
 
 PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(x) for x in ("", "<number>", "<unit>", "<name>")], np.uint64)
 
 
 def windows(text: str, window: int = WINDOW):
     """Every reading of every window: hashes, starts, readings (0 to 2), and a function for the slots of one."""
-    memo: Tokens = worker_cache().setdefault("tokens", Tokens())
-    if len(memo.tokens) > MEMO:
-        memo.reset()
-    numbers = np.fromiter(map(memo.of, text.split()), np.int64)
-    kinds, hashes = memo.kind[numbers], memo.hash[numbers]
+    known: Tokens = memo(TOKENS, Tokens)
+    if len(known.tokens) > MEMO:
+        known.reset()
+    numbers = np.fromiter(map(known.__getitem__, text.split()), np.int64)
+    kinds, hashes = known.kind[numbers], known.hash[numbers]
     values = None
     if (kinds == SEVERAL).any():
-        values = [t for i in numbers.tolist() for t in memo.tokens[i]]
+        values = [t for i in numbers.tolist() for t in known.of(i)]
         kinds = np.array([k for _, k in values], np.uint8)
         hashes = np.array([xxhash.xxh64_intdigest(v) for v, _ in values], np.uint64)
     else:
@@ -135,7 +148,7 @@ def windows(text: str, window: int = WINDOW):
         out = []
         for i in range(start, start + size):
             if reading and (measured[i] or reading == 2 and named[i]):
-                value = values[i][0] if values is not None else memo.tokens[numbers[i]][0][0]
+                value = values[i][0] if values is not None else known.tokens[numbers[i]]
                 out.append("-nup"[kinds[i]] + value)
         return out
 
@@ -166,7 +179,7 @@ def table(df: DataFrame, key: str, text: str, bits=None, window: int = WINDOW) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*out), schema)], names=schema.names)
 
     rows = df.where(F.col(key).isNotNull()).select(key, text, F.xxhash64(text).alias("tag"))
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema, TOKENS)
 
 
 def bitmap(items: DataFrame):
@@ -205,6 +218,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no item; those with a null doc_id stay. Only those that may go are shuffled."""
-    held = cut(matches(docs, benchmark, doc_id, **options).select(F.col(doc_id).alias("_held")).distinct())
-    maybe, rest = split(docs, doc_id, common.bitmap(held, "_held"))
-    return rest.unionByName(maybe.join(held, F.col(doc_id) == F.col("_held"), "left_anti"))
+    held = cut(matches(docs, benchmark, doc_id, **options).select(F.col(doc_id).alias("__held_")).distinct())
+    maybe, rest = split(docs, doc_id, common.bitmap(held, "__held_"))
+    return rest.unionByName(maybe.join(held, F.col(doc_id) == F.col("__held_"), "left_anti"))
