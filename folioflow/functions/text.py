@@ -26,6 +26,11 @@ QUOTES = ['"', "'", "“", "”", "‘", "’", "「", "」", "『", "』"]
 BREAK = "\uE000"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
 
@@ -68,7 +73,7 @@ def sentence_chunks(c: Column) -> Column:
     """Pieces after sentence ends that white space follows; the whole text if there are none."""
     s = strip(c)
     parts = F.filter(F.transform(F.split(s, rf"(?<=[。！？!?])[{WS}]+", -1), strip), lambda x: x != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(s))
+    return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(s)))
 
 
 def _close_cjk(c: Column) -> Column:
@@ -90,7 +95,7 @@ def list_render_text(c: Column) -> Column:
     parts = F.split(spaced, rf"[{WS}]+(?={MARKER}[{WS}]+)", -1)
     items = F.filter(F.transform(parts, strip), lambda x: x != "")
     items = F.transform(items, lambda x: F.regexp_replace(F.regexp_replace(x, rf"\A({MARKER})[{WS}]*", "$1 "), f"[{WS}]{{2,}}", " "))
-    return F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise(spaced)
+    return let(items, lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")).otherwise(spaced))
 
 
 def paragraph_render_text(c: Column) -> Column:
@@ -101,7 +106,7 @@ def render_text(c: Column, kind: Column) -> Column:
     """Text as it is set: clean lines, no blanks round ideographs, no closing quotes at the end; null as empty."""
     c = F.coalesce(c, F.lit(""))
     lines = F.filter(F.transform(split_lines(c), strip), lambda x: (x != "") & ~x.isin(QUOTES))
-    joined = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(strip(c))
+    joined = let(lines, lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")).otherwise(strip(c)))
     clean = _close_cjk(F.regexp_replace(joined, f"[{WS}]{{2,}}", " "))
-    kinded = F.when(kind == "list", list_render_text(clean)).when(kind == "paragraph", paragraph_render_text(clean)).otherwise(clean)
+    kinded = let(clean, lambda x: F.when(kind == "list", list_render_text(x)).when(kind == "paragraph", paragraph_render_text(x)).otherwise(x))
     return F.regexp_replace(kinded, rf"[{WS}]*[“”‘’「」『』]+(?=\n?\z)", "")

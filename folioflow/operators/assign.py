@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import WS, normalize, split_lines, strip
+from folioflow.functions.text import WS, let, normalize, split_lines, strip
 from folioflow.thresholds import DEFAULTS, Thresholds
 
 
@@ -46,22 +46,25 @@ def deal_chunks(chunks: Column, capacities: Column) -> Column:
     """
     finer = F.flatten(F.transform(chunks, lambda c: _pieces(c)))
     pieces = F.when(F.size(chunks) < F.size(capacities), finer).otherwise(chunks)
-    n, m = F.size(pieces), F.size(capacities)
-    total = F.aggregate(capacities, F.lit(0.0), lambda a, c: a + c)
+    return let(F.struct(pieces.alias("p"), capacities.alias("c"), F.aggregate(capacities, F.lit(0.0), lambda a, c: a + c).alias("all")), _dealt)
+
+
+def _dealt(known: Column) -> Column:
+    pieces, shares, total = known["p"], known["c"], known["all"]
+    n, m = F.size(pieces), F.size(shares)
     zero = F.expr("named_struct('at', 0, 'texts', CAST(array() AS array<string>))")
 
     def step(acc, x):
-        left, blocks = n - acc["at"], m - x["i"]
-        want = F.floor(F.greatest(F.lit(1.0), n * (x["c"] / total))).cast("int")
+        left, blocks = n - acc["at"], m - F.size(acc["texts"])
+        want = F.floor(F.greatest(F.lit(1.0), n * (x / total))).cast("int")
         take = F.when(blocks == 1, left).otherwise(F.greatest(F.lit(1), F.least(left - blocks + 1, want)))
-        text = strip(F.array_join(F.slice(pieces, acc["at"] + 1, take), " "))
-        return F.struct((acc["at"] + take).alias("at"), F.concat(acc["texts"], F.array(text)).alias("texts"))
+        return let(take, lambda k: F.struct((acc["at"] + k).alias("at"), F.concat(acc["texts"], F.array(
+            strip(F.array_join(F.slice(pieces, acc["at"] + 1, k), " ")))).alias("texts")))
 
-    shares = F.transform(capacities, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    texts = F.aggregate(shares, zero, step, lambda acc: acc["texts"])
-    return F.when((F.size(chunks) > 0) & (n >= m), F.when(~F.exists(texts, lambda v: v == ""), texts))
+    dealt = F.when((n > 0) & (n >= m), F.aggregate(shares, zero, step, lambda acc: acc["texts"]))
+    return let(dealt, lambda texts: F.when(~F.exists(texts, lambda v: v == ""), texts))
 
 
 def _pieces(chunk: Column) -> Column:
     parts = F.filter(F.transform(F.split(chunk, rf"(?<=[、，,])[{WS}]+", -1), strip), lambda p: p != "")
-    return F.when(F.size(parts) >= 2, parts).otherwise(F.array(chunk))
+    return let(parts, lambda p: F.when(F.size(p) >= 2, p).otherwise(F.array(chunk)))
