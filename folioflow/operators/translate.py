@@ -127,11 +127,13 @@ def page_ladder(items: list[dict], ask: Callable[[list[dict]], tuple[dict | None
 
 
 PAGE_RESULT = ("doc_id {doc}, page int, translated array<struct<id: string, t: string>>, status string, response_chars long, retry_attempts long, retry_count long, "
-               "source_fallback_blocks long, source_fallback_ids array<string>, max_split_level long, api_calls long, requests long, completions long")
+               "source_fallback_blocks long, source_fallback_ids array<string>, max_split_level long, api_calls long, requests long, completions long, "
+               "calls array<struct<ok: boolean, elapsed: double, prompt_tokens: long, completion_tokens: long, total_tokens: long, prompt_chars: long, completion_chars: long>>")
+CALL = ("ok", "elapsed", "prompt_tokens", "completion_tokens", "total_tokens", "prompt_chars", "completion_chars")
 
 
 def translate_pages(pages: DataFrame, translator, options: Options, pause: float = PAUSE) -> DataFrame:
-    """``pages`` (``doc_id, page, items``) with the texts of each page and its counts; a page never fails the job."""
+    """``pages`` (``doc_id, page, items``) with the texts of each page, its counts and the calls that the translator logged; a page never fails the job."""
     o = options
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,6 +141,8 @@ def translate_pages(pages: DataFrame, translator, options: Options, pause: float
             rows = []
             for doc, page, items in zip(part["doc_id"], part["page"], part["items"]):
                 items = [{"id": i["id"], "t": i["t"]} for i in items]
+                logged = getattr(translator, "log", [])
+                before = len(logged)
                 try:
                     texts, c = page_ladder(items, lambda x: ask_items(x, translator.complete, o.llm.temperature, pause), o.llm.page_retries, 0, o.keep_partial)
                     status = "ok_with_warnings" if c["source_fallback_blocks"] else "ok"
@@ -146,14 +150,19 @@ def translate_pages(pages: DataFrame, translator, options: Options, pause: float
                     texts, c, status = {}, {}, f"page_batch_failed: {e}"
                 rows.append((doc, page, [{"id": k, "t": v} for k, v in texts.items()], status, c.get("response_chars", 0), c.get("retry_count", 0) + 1,
                              c.get("retry_count", 0), c.get("source_fallback_blocks", 0), c.get("source_fallback_ids", []), c.get("max_split_level", 0),
-                             c.get("api_calls", 0), c.get("requests", 0), c.get("completions", 0)))
+                             c.get("api_calls", 0), c.get("requests", 0), c.get("completions", 0), [{k: x.get(k) for k in CALL} for x in logged[before:]]))
             yield pd.DataFrame(rows, columns=["doc_id", "page", "translated", "status", "response_chars", "retry_attempts", "retry_count", "source_fallback_blocks",
-                                              "source_fallback_ids", "max_split_level", "api_calls", "requests", "completions"])
+                                              "source_fallback_ids", "max_split_level", "api_calls", "requests", "completions", "calls"])
 
     schema = PAGE_RESULT.format(doc=pages.schema["doc_id"].dataType.simpleString())
     return settled(pages.select("doc_id", "page", "items").repartition(o.workers).mapInPandas(run, schema))
 
 
+def call_log(results: DataFrame) -> DataFrame:
+    """A row for each call of ``translate_pages``, for ``metrics.call_metrics``."""
+    return results.select("doc_id", "page", F.posexplode("calls").alias("call", "c")).select("doc_id", "page", "call", "c.*")
+
+
 def page_summaries(sizes: DataFrame, results: DataFrame, max_output_tokens: int) -> DataFrame:
     """What each page took: its request's size and the counts of its calls."""
     joined = sizes.join(results, ["doc_id", "page"])
@@ -163,8 +172,8 @@ def page_summaries(sizes: DataFrame, results: DataFrame, max_output_tokens: int)
         "response_chars", "retry_attempts", "retry_count", "source_fallback_blocks", "max_split_level", "api_calls", "status")
 
 
-def by_pages(blocks: DataFrame, translator, options: Options, t: Thresholds = DEFAULTS, pause: float = PAUSE) -> tuple[DataFrame, DataFrame]:
-    """Translated blocks and page summaries. Too large a page, and nothing to translate, are errors before any call."""
+def by_pages(blocks: DataFrame, translator, options: Options, t: Thresholds = DEFAULTS, pause: float = PAUSE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Translated blocks, page summaries and the call log. Too large a page, and nothing to translate, are errors before any call."""
     sizes = requests.requests(requests.page_items(blocks, t), t)
     limit = max(t.least_input_chars, options.llm.page_max_chars)
     first = sizes.agg(F.count("*").alias("n"), F.min(F.when(F.col("input_chars") > limit, F.struct("doc_id", "page", "input_chars"))).alias("over")).first()
@@ -179,7 +188,7 @@ def by_pages(blocks: DataFrame, translator, options: Options, t: Thresholds = DE
     texts = results.select("doc_id", "page", F.explode("translated").alias("x")).select(
         "doc_id", "page", F.regexp_extract("x.id", r"_b(-?\d+)\z", 1).cast("int").alias("block_idx"), F.col("x.t").alias("translated"))
     merged = merge.merge_results(blocks, texts, block_kind(F.col("text"), F.col("size") if "size" in blocks.columns else F.lit(None).cast("double"), t))
-    return merged, page_summaries(sizes, results, options.llm.max_tokens)
+    return merged, page_summaries(sizes, results, options.llm.max_tokens), call_log(results)
 
 
 # --- segments and single blocks ----------------------------------------------------------------------------------

@@ -26,18 +26,19 @@ class Result:
     records: DataFrame
     translated: int = 0
     seconds: float = 0.0
+    calls: DataFrame | None = None
 
 
 def translate_documents(blocks: DataFrame, translator, options: Options, t: Thresholds = DEFAULTS, pause: float = translate.PAUSE) -> Result:
     """Blocks of any number of documents, by pages or by segments as the options say."""
-    began = time.monotonic()
+    began, calls = time.monotonic(), None
     blocks = ready(requests.select_pages(blocks, parse_pages(options.llm.target_pages)))
     if options.engine == "llm" and options.llm.page_stats_only:
         limit = max(t.least_input_chars, options.llm.page_max_chars)
         return Result(None, requests.page_stats(blocks, limit, options.llm.max_tokens, t))
     if options.engine == "llm" and options.llm.translate_mode == "page":
         try:
-            out, records = translate.by_pages(blocks, translator, options, t, pause)
+            out, records, calls = translate.by_pages(blocks, translator, options, t, pause)
         except RuntimeError:
             if options.on_page_failure != "segment":
                 raise
@@ -50,7 +51,7 @@ def translate_documents(blocks: DataFrame, translator, options: Options, t: Thre
     count = merge.translated_count(out).first()["translated"]
     seconds = time.monotonic() - began
     log.info("translated %d blocks in %s", count, elapsed_text(seconds))
-    return Result(out, records, count, seconds)
+    return Result(out, records, count, seconds, calls)
 
 
 def run(blocks: DataFrame, pages: DataFrame, translator, options: Options, t: Thresholds = DEFAULTS, pause: float = translate.PAUSE):

@@ -236,7 +236,7 @@ def q28_structured_response(spark, sf_dir):
 def q29_pages_translated(spark, sf_dir):
     """Page mode with a translator that marks what it got, on the executors."""
     options = Options(engine="llm", llm=LlmOptions(max_workers=4))
-    out, _ = translate.by_pages(line_blocks(spark, sf_dir), Mapped("T:{}".format), options, pause=0)
+    out, *_ = translate.by_pages(line_blocks(spark, sf_dir), Mapped("T:{}".format), options, pause=0)
     return out.select("doc_id", "ordinal", "text", "segment_kind")
 
 

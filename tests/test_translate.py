@@ -96,12 +96,31 @@ def texts(df):
 
 
 def test_page_mode(blocks):
-    out, pages = T.by_pages(blocks, S.Mapped(str.upper), Options(engine="llm"), pause=0)
+    out, pages, _ = T.by_pages(blocks, S.Mapped(str.upper), Options(engine="llm"), pause=0)
     assert texts(out) == ["FIRST LINE HERE", "SECOND LINE HERE", "7", "“QUOTED ONE. GOES ON", "“QUOTED TWO! AND THEN", "- ITEM"]
     row = pages.first()
     assert (row["items"], row.retry_count, row.status, row.api_calls) == (5, 0, "ok", 1)
 
 
+class Logged(S.Mapped):
+    """A translator that keeps a log like the server's client."""
+
+    def complete(self, prompt, **options):
+        self.log = getattr(self, "log", [])
+        self.log.append({"ok": True, "elapsed": 0.5, "prompt_chars": len(prompt), "completion_chars": 8, "prompt_tokens": 3})
+        return super().complete(prompt, **options)
+
+
+def test_call_log(blocks):
+    from folioflow.operators import metrics
+
+    logged = Logged(str.upper)
+    logged.log = []
+    *_, calls = T.by_pages(blocks, logged, Options(engine="llm"), pause=0)
+    row = metrics.call_metrics(calls).first()
+    assert (row.requests_total, row.prompt_tokens, row.completion_tokens, row.successful_elapsed) == (1, 3, 2, 0.5)
+
+
 def test_page_mode_errors(blocks):
     with pytest.raises(RuntimeError, match="nothing to translate"):
         T.by_pages(blocks.where("block_idx = 2"), S.Mapped(str.upper), Options(engine="llm"), pause=0)
