@@ -126,7 +126,7 @@ ORACLES = {
         FROM c GROUP BY worker""",
     "q18_translated_count": f"WITH {SHOUT} SELECT lang, count(*) FILTER (said <> text AND NOT noise) AS translated, count(*) AS blocks FROM a GROUP BY lang",
     "q19_body_paragraphs": f"WITH {KINDS} SELECT doc_id, ordinal, {BODY} AS body, greatest(18.0, 800 * 0.03)::DOUBLE AS size_limit FROM k",
-    "q20_decorative": f"""WITH {KINDS}, d AS (SELECT doc_id, ordinal, (200 + 40 * (ordinal % 9))::DOUBLE AS w, (60 * (ordinal % 11))::DOUBLE AS h, length({norm('substr(text, 1, 14)')}) AS c,
+    "q20_decorative": f"""WITH {KINDS}, d AS (SELECT doc_id, ordinal, (200 + 40 * (ordinal % 9))::DOUBLE AS w, (60 * (ordinal % 11))::DOUBLE AS h, length({norm('text')}) AS c,
         y0 FROM k) SELECT doc_id, ordinal, (c <= 12 AND w * h >= 480000 * 0.2::DOUBLE) OR (c <= 8 AND h >= 800 * 0.45::DOUBLE) AS decorative FROM d""",
     "q21_right_neighbor": f"WITH {PEERS} SELECT doc_id, ordinal, neighbor_x0 FROM nb",
     "q22_adjusted_box": f"""WITH {PEERS} SELECT doc_id, ordinal, adjusted_x1::DOUBLE AS adjusted_x1,
