@@ -11,7 +11,7 @@ how rows are dealt to tasks. Only the prototypes (one vector for each language)
 
 Defined results: null text and text without a letter is ``und`` with score 0, as is every text if
 nothing was learned; of equal cosines the first language in order wins; repeated rows count repeatedly; rows with a
-null or empty language aren't learned from; the input's other columns are kept, but for the two that are made.
+null language or text aren't learned from; the input's other columns are kept, but for the two that are made.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
         return pd.DataFrame({"lang": frame["lang"].iloc[:1], "vector": [total.tobytes()]})
 
     schema = "lang string, vector binary"
-    known = df.where(F.col(text).isNotNull() & (F.col(lang) != "")).select(text, F.col(lang).cast("string").alias(lang))
+    known = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, F.col(lang).cast("string").alias(lang))
     # Two steps, so that no task gets a language's vectors from all partitions.
     parts = map_arrow(known, bundle, schema).withColumn("salt", F.spark_partition_id() % 64)
     sums = parts.groupBy("lang", "salt").applyInPandas(add, schema).groupBy("lang").applyInPandas(add, schema)
