@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from folioflow.thresholds import DEFAULTS, Thresholds
 
-#: Fixed value: the 29 white-space characters.
-WS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Fixed value: the 29 white-space characters. Those beyond Latin-1 stand behind one range, so that most characters take two tests.
+WS = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]"
+#: The same characters, one by one.
+SPACES = "\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202F\u205F\u3000"
 #: Fixed value: where lines end; a carriage return with line feed counts once.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 #: Fixed value: ideographs and kana between which no blank is set.
@@ -32,7 +34,7 @@ def let(value: Column, use) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize(c: Column) -> Column:
