@@ -3,9 +3,10 @@
 Words are stripped of punctuation and put in lower case. Windows of ``WINDOW`` words are hashed in up to three
 readings: as they are; as a template with numbers and units of measure replaced by typed placeholders; and with
 capitalised words replaced by a name placeholder as well. Only windows with at least ``LITERAL`` plain words are read as
-templates. Items and documents are joined on the hashes. The windows that an item and a document share at one
+templates. Items and documents are joined on the hashes. The templates that an item and a document share at one
 distance from each other must fill the slots consistently: the same value of the item always becomes the same value
-of the document, and different names become different names. An item is in a document if its windows found that way
+of the document, and different names become different names. Templates with a slot that conflicts don't count; windows found
+as they are have no slots and always do. An item is in a document if its windows found that way
 reach the share ``SIMILARITY`` of all its windows.
 
 A bitmap of fixed size over the items' window hashes keeps most windows of clean documents out of the shuffle; where
@@ -198,17 +199,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     found = table(docs, doc_id, text, bitmap(items), window).drop("total")
     inner = items.select(item_id, "item_tag", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"), "total")
     met = found.join(inner, "hash").withColumn("apart", F.col("place") - F.col("item_place"))
-    # At one distance each window of the item stands once, so a group is no larger than the item.
+    # At one distance each window of the item stands once in each reading, so a group is no larger than three times the item.
     lines = met.groupBy(doc_id, "tag", item_id, "item_tag", "apart", "total").agg(
-        F.collect_set("item_place").alias("places"), F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))).alias("pairs"),
-        F.min("place").alias("first"))
-    lines = lines.withColumn("pairs", F.array_distinct("pairs"))
-    names = "filter(pairs, p -> startswith(p.item_slots, 'p'))"
-    consistent = (f"size(array_distinct(pairs.item_slots)) = size(pairs) AND size(array_distinct({names}.slots)) = size({names})")
-    lines = lines.where(consistent).withColumn("same", F.expr("forall(pairs, p -> p.item_slots = p.slots)"))
+        F.collect_set(F.struct("item_place", "item_slots", "slots")).alias("met"))
+    lines = lines.withColumn("pairs", F.expr("array_distinct(flatten(transform(met, w -> arrays_zip(w.item_slots, w.slots))))"))
+    # Slots of the item that become several, and names of the document that several become.
+    twice = lambda pairs, by: f"transform(filter({pairs}, (p, i) -> i > 0 AND p.{by} = {pairs}[i - 1].{by}), p -> p.{by})"
+    lines = lines.withColumn("ordered", F.expr("array_sort(pairs)")).withColumn("turned", F.expr(
+        "array_sort(transform(filter(pairs, p -> startswith(p.item_slots, 'p')), p -> named_struct('slots', p.slots, 'item_slots', p.item_slots)))"))
+    lines = lines.withColumn("split", F.expr(twice("ordered", "item_slots"))).withColumn("joined", F.expr(twice("turned", "slots")))
+    # Windows as they are have no slots, so nothing conflicts with them.
+    lines = lines.withColumn("fit", F.expr("filter(met, w -> NOT arrays_overlap(w.item_slots, split) AND NOT arrays_overlap(w.slots, joined))"))
+    lines = lines.withColumn("places", F.expr("transform(fit, w -> w.item_place)")).withColumn(
+        "same", F.expr("transform(filter(met, w -> size(w.item_slots) = 0), w -> w.item_place)"))
     sums = lines.groupBy(doc_id, "tag", item_id, "item_tag", "total").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_found"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.expr("IF(same, places, array())"))))).alias("n_same"), F.min("first").alias("first"))
+        F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("n_same"),
+        F.min(F.expr("array_min(places) + apart")).alias("first"))
     kept = sums.where(F.col("n_found") >= similarity * F.col("total"))
     return kept.groupBy(doc_id, item_id).agg(
         F.max("total").cast("long").alias("n_windows"), F.max("n_found").cast("long").alias("n_found"),

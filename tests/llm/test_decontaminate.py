@@ -39,6 +39,15 @@ def test_repeated_numbers_must_agree(spark):
     assert {k[0] for k in found(spark, docs, [(0, item)])} == {1, 3}
 
 
+def test_a_changed_value_leaves_verbatim_windows(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(60)]
+    item = " ".join(["take 4 red", *words[:30], "and 4 blue for Ann", *words[30:], "with Bob too"])
+    docs = [(1, item.replace("4 red", "6 red")), (2, item.replace("Ann", "Bob")), (3, " ".join(words[i] for i in range(0, 60, 2)))]
+    got = found(spark, docs, [(0, item)])
+    total = len(item.split()) - 4
+    assert {k[0]: (r.verbatim, r.n_found) for k, r in got.items()} == {1: (True, total - 2), 2: (True, total - 5)}
+
+
 def test_short_items(spark):
     got = found(spark, [(1, "two words"), (2, "here are two words too"), (3, "Two words!")], [(0, "two words"), (1, ""), (2, "?!")])
     assert set(got) == {(1, 0), (3, 0)}
