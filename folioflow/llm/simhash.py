@@ -112,13 +112,17 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     Only rows that go, or that repeat, are joined; a bitmap of fixed size tells the others, which aren't shuffled.
     """
-    row = F.xxhash64(doc_id, text)
-    found = cut(groups(fingerprints(docs.select(doc_id, text, row.alias("__row_")), text), doc_id))
+    docs = docs.withColumn("__row_", F.xxhash64(doc_id, text))
+    return keep_first(docs, cut(groups(fingerprints(docs.select(doc_id, text, "__row_"), text), doc_id)), doc_id).drop("__row_")
+
+
+def keep_first(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """The first row of each ``root`` of ``found``, which names the rows of ``docs`` by ``__row_``."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id), F.col("__row_"))).alias("keep"))
     marked = found.groupBy("root", "__row_").count().join(first, "root").withColumn("__stays_", F.col("__row_") == F.col("keep.__row_"))
     touched = cut(marked.where(~F.col("__stays_") | (F.col("count") > 1)).groupBy(F.col("__row_").alias("__touched_")).agg(F.max("__stays_").alias("__stays_")))
-    maybe, rest = split(docs.withColumn("__row_", row), "__row_", bitmap(touched, "__touched_"))
+    maybe, rest = split(docs, "__row_", bitmap(touched, "__touched_"))
     joined = maybe.join(touched, F.col("__row_") == F.col("__touched_"), "left")
     others = joined.where("__touched_ IS NULL").select(rest.columns)
     once = joined.where("__stays_").dropDuplicates(["__row_"]).select(rest.columns)
-    return rest.unionByName(others).unionByName(once).drop("__row_")
+    return rest.unionByName(others).unionByName(once)
