@@ -31,7 +31,8 @@ NAMES = [
     ("apache-2.0", "apache", r"apache (?:software )?licen[cs]e (?:version |v )?(?:2 0|2|v2 0|v2)"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version |v )?1 1"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e"),
-    ("mit", "mit", r"(?:mit|expat|mit x11|x11 mit) (?:style )?licen[cs]e"),
+    ("mit", "mit", r"(?:mit|mit x11|x11 mit) (?:style )?licen[cs]e"),
+    ("mit", "expat", r"expat (?:style )?licen[cs]e"),
     ("mit-0", "mit no attribution", r"mit no attribution(?: licen[cs]e)?"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
@@ -87,7 +88,8 @@ NAMES = [
     ("odc-by-1.0", "open data commons attribution licen", r"open data commons attribution licen[cs]e(?: (?:version |v )?1 0)?"),
     ("pddl-1.0", "public domain dedication and licen", r"(?:open data commons )?public domain dedication and licen[cs]e"),
     ("ogl-uk", "open government licen", r"open government licen[cs]e(?: (?:version |v )?\d 0)?"),
-    ("openrail", "rail", r"(?:creativeml |bigscience )?(?:open ?rail|responsible ai) (?:m )?licen[cs]e"),
+    ("openrail", "rail", r"(?:creativeml |bigscience )?open ?rail (?:m )?licen[cs]e"),
+    ("openrail", "responsible ai", r"(?:creativeml |bigscience )?responsible ai (?:m )?licen[cs]e"),
     ("llama-community", "community licen", r"llama (?:\d )*community licen[cs]e"),
     ("busl-1.1", "business source licen", r"business source licen[cs]e(?: (?:version |v )?1 1)?"),
     ("sspl-1.0", "server side public licen", r"server side public licen[cs]e(?: (?:version |v )?1)?"),
@@ -158,7 +160,7 @@ OTHERS = [
 
 #: One of these stands in every keyword.
 STEMS = ["licen", "copyright", "reserved", "cc by", "creative", "gpl", "apache", "mit ", "bsd", "gnu", "spdx", "public domain", "warrant", "permission",
-         "redistribution", "distribut", "proprietary", "cc0", "libpng", "wtfpl", "w3c", "zlib", "rail", "commons clause", "reproduced", "commercial",
+         "redistribution", "distribut", "proprietary", "cc0", "libpng", "wtfpl", "w3c", "zlib", "rail", "expat", "responsible ai", "commons clause", "reproduced", "commercial",
          "free software", "unencumbered", "terms of", "opensource org", "mozilla org"]
 
 #: Priorities run from 0 to one less than this.

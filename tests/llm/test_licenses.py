@@ -60,6 +60,40 @@ def test_rules():
     assert not any(re.fullmatch(r.expression, "") for r in made)
 
 
+def samples(parsed):
+    """Texts that an expression matches: every alternative, and parts that may repeat once more than they must."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(x) if str(o) == "LITERAL" else chr(x[0]) if str(o) == "RANGE" else "7" for o, x in arg]
+        elif name == "BRANCH":
+            more = [x for part in arg[1] for x in samples(part)]
+        elif name == "SUBPATTERN":
+            more = samples(arg[3])
+        else:
+            assert name == "MAX_REPEAT", name
+            once = samples(arg[2])
+            more = [x * n for n in {arg[0], min(arg[1], arg[0] + 1)} for x in once]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_keyword_stands_in_every_match():
+    names = [(k, x) for _, k, x in L.NAMES] + [(k, x) for _, k, x, *_ in L.OTHERS]
+    for keyword, expression in names:
+        made = samples(re._parser.parse(expression))
+        assert any(s in f" {keyword} " for s in L.STEMS) and all(re.fullmatch(expression, x) and keyword in x for x in made), (keyword, expression)
+
+
+def test_alternatives_without_the_label_in_them(spark):
+    texts = ["Released under the Expat License.", "See the Responsible AI License for details"]
+    found = L.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [{d.label for d in r.detections} & {"mit", "openrail"} for r in found] == [{"mit"}, {"openrail"}]
+
+
 def test_no_python(spark, sf_dir):
     plan = queries.op6_license_scan(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
