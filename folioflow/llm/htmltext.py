@@ -5,7 +5,7 @@ how many tags stand in it and which container it lies in. The ratio of text to t
 Gaussian, is high in running text and low in lists of links. Lines are clustered by container (an article
 or main element as a whole, otherwise the nearest division), and the containers that a smoothed ratio over
 the threshold, half the page's mean, reaches are content: all their lines count, short ones too. Where a page has an article or main element,
-only such containers are looked at. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+all such containers are content, whatever their ratio, and nothing else is. A table belongs to the container round it. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments of readers never count; they are known by element, role, or a word of class or id.
 
 Defined results: null and empty html give an empty text, as do pages of tags only; markup that is cut off
@@ -30,7 +30,7 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option optgroup p pre section select summary
 table tbody td textarea tfoot th thead title tr ul""".split())
 ROOTS = frozenset(("article", "main"))
-CONTAINERS = frozenset("body div section td center details".split())
+CONTAINERS = frozenset("body div section center details".split())
 SKIPPED = frozenset("""nav aside footer form script style noscript template iframe svg button select textarea dialog menu object canvas
 video audio map head title applet datalist""".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -159,7 +159,7 @@ def main_text(html: str) -> str:
     lines = page.lines
     if any(root for *_, root in lines):
         lines = [x for x in lines if x[3]]
-    if len({x[2] for x in lines}) > 1:
+    elif len({x[2] for x in lines}) > 1:
         ratios = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines])
         threshold = sum(ratios) / len(ratios) / 2
         content = {x[2] for x, r in zip(lines, ratios) if r >= threshold}

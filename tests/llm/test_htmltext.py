@@ -18,6 +18,10 @@ MENU = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More of this site
     (f"<nav><a>x</a><article><p>{LONG}</p></article>", LONG),
     (f"<article><p>{LONG}</p><!-- <p>hidden</p> --><noscript>Turn on</noscript><p hidden>x</p><p style='display: none'>y</p><p>&lt;b&gt; &#8364; &am</p></article>", f"{LONG}\n\n<b> € &am"),
     ("just text & more", "just text & more"),
+    (f"<article><p>{LONG * 4}</p><p>{LONG * 4}</p><p>{LONG * 4}</p></article><article><p><b>So.</b></p><p>It is.</p><p><i>Yes.</i></p></article><article><p>{LONG * 4}</p><p>{LONG * 4}</p></article>",
+     f"{LONG * 4}\n\n{LONG * 4}\n\n{LONG * 4}\n\nSo.\n\nIt is.\n\nYes.\n\n{LONG * 4}\n\n{LONG * 4}"),
+    (f"<div><p>{LONG * 4}</p><p>{LONG * 4}</p><table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr><tr><td>c</td><td>3</td></tr></table><p>{LONG * 4}</p></div>",
+     f"{LONG * 4}\n\n{LONG * 4}\n\na\n\n1\n\nb\n\n2\n\nc\n\n3\n\n{LONG * 4}"),
     (f"<article><p>{LONG}</p><p>cut <b", f"{LONG}\n\ncut <b"),
     ("<article><p><b>Sthe.<br><p>To it</article>", "Sthe.\n\nTo it"),
 ])
