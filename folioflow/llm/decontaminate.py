@@ -7,13 +7,15 @@ templates. Items and documents are joined on the hashes. The templates that an i
 distance from each other must fill the slots consistently: the same value of the item always becomes the same value
 of the document, and different names become different names. Templates with a slot that conflicts don't count; windows found
 as they are have no slots and always do. An item is in a document if its windows found that way
-reach the share ``SIMILARITY`` of all its windows.
+reach the share ``SIMILARITY`` of all its windows, also those that no template is made of: an item that is mostly
+numbers or names is found as it is only. An item of fewer than ``WINDOW`` words has one window, all of its words, and is found wherever these
+words stand in a row.
 
 A bitmap of fixed size over the items' window hashes keeps most windows of clean documents out of the shuffle; where
 many items fill it up, more windows are shuffled and none is missed. Spark chooses the join by the items' size.
 
-Defined results: null texts have no words; a text of fewer than ``WINDOW`` words has one window, all of its words, so
-that a short item is only found in documents of the same words; an item found several times in a document gives one row;
+Defined results: null texts have no words; items without words are found nowhere; a text of any length is read whole, and its rows
+leave the task a few thousand at a time; an item found several times in a document gives one row;
 rows with equal doc_id are one document; rows with a null doc_id or item_id give no rows; tables without rows give none.
 """
 
@@ -112,8 +114,11 @@ class Tokens(dict):
 PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(x) for x in ("", "<number>", "<unit>", "<name>")], np.uint64)
 
 
-def windows(text: str, window: int = WINDOW):
-    """Every reading of every window: hashes, starts, readings (0 to 2), and a function for the slots of one."""
+def windows(text: str, sizes: list[int] | None = None, window: int = WINDOW):
+    """Every reading of every window: hashes, starts, sizes, readings (0 to 2), a function for the slots of one, and the number of windows.
+
+    ``sizes`` lists the sizes of windows; without it the size is ``window``, or all words of a shorter text.
+    """
     known: Tokens = memo(TOKENS, Tokens)
     if len(known.tokens) > MEMO:
         known.reset()
@@ -129,23 +134,27 @@ def windows(text: str, window: int = WINDOW):
         numbers, kinds, hashes = numbers[there], kinds[there], hashes[there]
     n = len(kinds)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, None, 0
     kinds = kinds.copy()
     lone = (kinds == UNIT) & ~np.concatenate(([False], kinds[:-1] == NUMBER))
     kinds[lone] = PLAIN
-    size = min(window, n)
-    starts = np.arange(n - size + 1)
-    within = lambda mask: (c := np.concatenate(([0], np.cumsum(mask))))[size:] - c[:-size]
-    made, places, readings = [], [], []
+    made, places, lengths, readings, total = [np.zeros(0, np.uint64)], [], [], [], 0
     measured, named = (kinds == NUMBER) | (kinds == UNIT), kinds == NAME
     for reading, (slots, least) in enumerate(((np.zeros(n, bool), None), (measured, measured), (measured | named, named))):
-        chosen = starts if least is None else starts[(within(least) > 0) & (size - within(slots) >= LITERAL)]
-        if len(chosen):
-            made.append(Rolling(np.where(slots, PLACEHOLDERS[np.minimum(kinds, NAME)], hashes), BASES[reading > 0]).at(chosen, size))
-            places.append(chosen)
-            readings.append(np.full(len(chosen), reading))
-
-    def slots_of(start: int, reading: int) -> list[str]:
+        rolling = None
+        for size in [min(window, n)] if sizes is None else [z for z in sizes if z <= n]:
+            starts = np.arange(n - size + 1)
+            within = lambda mask: (c := np.concatenate(([0], np.cumsum(mask))))[size:] - c[:-size]  # noqa: B023, E731
+            chosen = starts if least is None else starts[(within(least) > 0) & (size - within(slots) >= LITERAL)]
+            total += len(starts) if least is None else 0
+            if len(chosen):
+                rolling = rolling or Rolling(np.where(slots, PLACEHOLDERS[np.minimum(kinds, NAME)], hashes), BASES[reading > 0])
+                made.append(rolling.at(chosen, size))
+                places.append(chosen)
+                lengths.append(np.full(len(chosen), size))
+                readings.append(np.full(len(chosen), reading))
+
+    def slots_of(start: int, size: int, reading: int) -> list[str]:
         out = []
         for i in range(start, start + size):
             if reading and (measured[i] or reading == 2 and named[i]):
@@ -153,29 +162,32 @@ def windows(text: str, window: int = WINDOW):
                 out.append("-nup"[kinds[i]] + value)
         return out
 
-    return np.concatenate(made), np.concatenate(places), np.concatenate(readings), slots_of, len(starts)
+    joined = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, lengths, readings)]
+    return np.concatenate(made), *joined, slots_of, total
 
 
-def table(df: DataFrame, key: str, text: str, bits=None, window: int = WINDOW) -> DataFrame:
-    """``key``, ``tag`` (hash of the text), ``place``, ``hash``, ``slots`` and ``total`` of windows, if given only of those in the bitmap."""
+def table(df: DataFrame, key: str, text: str, bits=None, sizes: list[int] | None = None, window: int = WINDOW) -> DataFrame:
+    """``key``, ``tag`` (hash of the text), ``place``, ``size``, ``hash``, ``slots`` and ``total`` of windows, if given only of those in the bitmap."""
     kind = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("tag", T.LongType()), T.StructField("place", T.IntegerType()),
+    schema = T.StructType([T.StructField(key, kind), T.StructField("tag", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("size", T.IntegerType()),
                            T.StructField("hash", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("total", T.IntegerType())])
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for k, tag, x in zip(batch.column(key).to_pylist(), batch.column("tag").to_pylist(), texts(batch, text)):
-                hashes, starts, readings, slots_of, total = windows(x, window)
+                hashes, starts, lengths, readings, slots_of, total = windows(x, sizes, window)
                 if bits is not None and len(hashes):
                     held = bits.value[(hashes & np.uint64(BITMAP_WORDS - 1)).astype(np.int64)] >> ((hashes >> np.uint64(32)) & np.uint64(63))
                     keep = np.flatnonzero(held & np.uint64(1))
-                    hashes, starts, readings = hashes[keep], starts[keep], readings[keep]
-                for h, s, r in zip(hashes.view(np.int64).tolist(), starts.tolist(), readings.tolist()):
-                    out.append((k, tag, s, h, slots_of(s, r), total))
-                if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*out), schema)], names=schema.names)
-                    out = []
+                    hashes, starts, lengths, readings = hashes[keep], starts[keep], lengths[keep], readings[keep]
+                for a in range(0, len(hashes), 5000):
+                    part = slice(a, a + 5000)
+                    for h, s, z, r in zip(hashes[part].view(np.int64).tolist(), starts[part].tolist(), lengths[part].tolist(), readings[part].tolist()):
+                        out.append((k, tag, s, z, h, slots_of(s, z, r), total))
+                    if len(out) >= 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*out), schema)], names=schema.names)
+                        out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*out), schema)], names=schema.names)
 
@@ -195,10 +207,11 @@ def bitmap(items: DataFrame):
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
             item_text: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``item_id``, ``n_windows`` of the item, ``n_found``, ``similarity``, ``verbatim`` and ``first_word`` (in the document)."""
-    items = table(benchmark, item_id, item_text, None, window).withColumnRenamed("tag", "item_tag")
-    found = table(docs, doc_id, text, bitmap(items), window).drop("total")
-    inner = items.select(item_id, "item_tag", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"), "total")
-    met = found.join(inner, "hash").withColumn("apart", F.col("place") - F.col("item_place"))
+    items = cut(table(benchmark, item_id, item_text, None, None, window).withColumnRenamed("tag", "item_tag"))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # no more than ``window``
+    found = table(docs, doc_id, text, bitmap(items), sizes, window).drop("total")
+    inner = items.select(item_id, "item_tag", F.col("place").alias("item_place"), "size", "hash", F.col("slots").alias("item_slots"), "total")
+    met = found.join(inner, ["hash", "size"]).withColumn("apart", F.col("place") - F.col("item_place"))
     # At one distance each window of the item stands once in each reading, so a group is no larger than three times the item.
     lines = met.groupBy(doc_id, "tag", item_id, "item_tag", "apart", "total").agg(
         F.collect_set(F.struct("item_place", "item_slots", "slots")).alias("met"))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -49,8 +50,10 @@ def test_a_changed_value_leaves_verbatim_windows(spark):
 
 
 def test_short_items(spark):
-    got = found(spark, [(1, "two words"), (2, "here are two words too"), (3, "Two words!")], [(0, "two words"), (1, ""), (2, "?!")])
-    assert set(got) == {(1, 0), (3, 0)}
+    docs = [(1, "two words"), (2, "here are two words too"), (3, "Two words!"), (4, "two other words"), (5, "words two"), (6, "we pay 7 euros there"), (7, "two")]
+    got = found(spark, docs, [(0, "two words"), (1, ""), (2, "?!"), (3, "pay 5 euros there"), (4, "Two"), (5, ITEM)])
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (6, 3), *((d, 4) for d in (1, 2, 3, 4, 5, 7))}
+    assert {k: r.first_word for k, r in got.items()}[2, 0] == 2 and not got[6, 3].verbatim and got[6, 3].n_windows == 1
 
 
 def test_numbers_alone_match_as_they_are(spark):
@@ -74,6 +77,73 @@ def test_clean(spark):
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 2]
 
 
+def test_one_of_two_equal_slots(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(60)]
+    for slot, other in (("Bob", "Tom"), ("12", "13")):
+        item = words[:10] + [slot] + words[11:45] + [slot] + words[46:]
+        changed = item[:45] + [other] + item[46:]
+        got = found(spark, [(1, " ".join(changed))], [(0, " ".join(item))])
+        assert got[1, 0].verbatim and got[1, 0].n_found == 51 and abs(got[1, 0].similarity - 51 / 56) < 1e-9
+
+
+def plain_readings(text, sizes):
+    """(place, size, what stands there, slots) of each window: as it is, with numbers and units, and with names too taken out."""
+    tokens = [list(t) for w in text.split() for t in D.read(w)]
+    for i, t in enumerate(tokens):
+        if t[1] == D.UNIT and (i == 0 or tokens[i - 1][1] != D.NUMBER):
+            t[1] = D.PLAIN
+    out = set()
+    for size in sizes or [min(5, len(tokens))]:
+        for i in range(len(tokens) - size + 1 if size else 0):
+            part = tokens[i : i + size]
+            out.add((i, size, tuple(v for v, _ in part), ()))
+            for kinds, needed in (((D.NUMBER, D.UNIT), (D.NUMBER, D.UNIT)), ((D.NUMBER, D.UNIT, D.NAME), (D.NAME,))):
+                if any(k in needed for _, k in part) and sum(k not in kinds for _, k in part) >= 2:
+                    out.add((i, size, tuple(("slot", k) if k in kinds else v for v, k in part), tuple((k, v) for v, k in part if k in kinds)))
+    return out
+
+
+def plain_matches(docs, items):
+    """All windows of all items against all windows of all documents."""
+    out = {}
+    read = {b: plain_readings(t, None) for b, t in items}
+    sizes = {w[1] for ws in read.values() for w in ws}
+    for d, t in docs:
+        here = plain_readings(t, sizes)
+        for b, ws in read.items():
+            lines = defaultdict(set)
+            for p, z, what, slots in ws:
+                for q, y, other, values in here:
+                    if z == y and what == other and len(slots) == len(values):
+                        lines[q - p].add((p, slots, values))
+            places, same = set(), set()
+            for met in lines.values():
+                pairs = {x for _, s, v in met for x in zip(s, v)}
+                torn = {s for s, v in pairs if any(s == s2 and v != v2 for s2, v2 in pairs)}
+                fused = {v for s, v in pairs if s[0] == D.NAME and any(v == v2 and s != s2 and s2[0] == D.NAME for s2, v2 in pairs)}
+                places |= {p for p, s, v in met if not torn & set(s) and not fused & set(v)}
+                same |= {p for p, s, _ in met if not s}
+            total = len({p for p, *_ in ws})
+            if total and len(places) >= 0.8 * total:
+                out[d, b] = (len(places), len(same) >= 0.8 * total)
+    return out
+
+
+def test_templates_like_plain(spark):
+    rng = random.Random(3)
+    words = ["red", "blue", "old", "box", "take", "put", "Ann", "Bob", "Tom", "4", "6", "12", "kg", "km", "5kg", "$7"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice((0, 2, 3, 6, 9, 12))))) for i in range(60)]
+    docs = []
+    for i in range(300):
+        parts = rng.choice(items)[1].split()
+        swap = {w: rng.choice(words) for w in rng.sample(words, 3)}
+        parts = [swap.get(w, w) if rng.random() < 0.7 else w for w in parts]
+        docs.append((i, " ".join([rng.choice(words) for _ in range(rng.randrange(4))] + parts + [rng.choice(words) for _ in range(rng.randrange(4))])))
+    got = {k: (r.n_found, r.verbatim) for k, r in found(spark, docs, items).items()}
+    want = plain_matches(docs, items)
+    assert got == want and len(want) > 100 and any(not v for _, v in want.values())
+
+
 def words_of(text):
     return [x for x in (re.sub(r"^[\W_]+|[\W_]+$", "", w).lower() for w in text.split()) if x]
 
