@@ -1,3 +1,5 @@
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -19,14 +21,61 @@ def plain_vector(text, dimensions=langid.DIMENSIONS):
 
 def test_bundles_like_the_definition():
     texts = [ENGLISH, GERMAN, "", "a", "Ünï çødé 漢字漢", "a1b2  c!"]
-    counts, vectors, sizes = langid.trigram_counts(texts, langid.DIMENSIONS)
-    for text, row, n in zip(texts, counts @ vectors, sizes):
-        want = plain_vector(text)
-        assert np.array_equal(row.astype(int), want) or (not text)
+    for text, row, n in zip(texts, *langid.bundles(texts, langid.DIMENSIONS)):
+        assert np.array_equal(row.astype(int), plain_vector(text))
         assert n == max(0, len(" ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())) if text else 0)
     many = ["".join(chr(0x4E00 + (i * 37 + j) % 3000) for j in range(60)) for i in range(60)]
-    counts, vectors, _ = langid.trigram_counts(many, 64)
-    assert np.array_equal((counts @ vectors)[7].astype(int), plain_vector(many[7], 64))
+    assert np.array_equal(langid.bundles(many, 64)[0][7].astype(int), plain_vector(many[7], 64))
+
+
+def test_runs_and_slices_add_up(monkeypatch):
+    texts = [ENGLISH * 3, "x", "", GERMAN, "".join(chr(0x4E00 + i * 7919 % 4000) for i in range(900))]
+    whole = langid.bundles(texts, 128)
+    for run, size in ((1, 1), (7, 3), (50, 16), (5000, 2)):
+        monkeypatch.setattr(langid, "RUN", run)
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, langid.bundles(texts, 128)))
+
+
+def test_memory_of_varied_letters():
+    """20 MB of varied ideographs in one text."""
+    code = """
+import random, resource
+from folioflow.llm import langid
+rng = random.Random(1)
+text = "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(1 << 18)) * 26
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert len(text.encode()) > 20_000_000 and langid.bundles([text], langid.DIMENSIONS)[1][0] == len(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=600)
+    assert int(done.stdout.split()[-1]) < 500
+
+
+def test_prototypes_and_choice_like_plain(spark):
+    """Prototypes, cosines and choices from the plain vectors of single texts."""
+    known = [(ENGLISH, "en"), (ENGLISH[:40] * 2, "en"), (GERMAN, "de"), ("le chien et la maison", "fr"), (GERMAN[30:], "de"), ("", "fr")]
+    frame = spark.createDataFrame(known, "text string, lang string")
+    prototypes = langid.learn(frame)
+    plain = {}
+    for text, lang in known:
+        n = len(" ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()))
+        weighed = np.rint(plain_vector(text) * (langid.WEIGHT / max(1, n)))
+        plain[lang] = plain.get(lang, 0) + weighed
+    assert set(prototypes) == set(plain) and all(np.array_equal(prototypes[k], plain[k]) for k in plain)
+    asked = ["the house", "das Haus", "la maison", "zzz", GERMAN + ENGLISH, "Über"]
+    rows = {r.text: r for r in langid.predict(spark.createDataFrame([(x,) for x in asked], "text string"), prototypes).collect()}
+    for text in asked:
+        v = plain_vector(text)
+        cosine = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in plain.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert rows[text].lang_pred == best and abs(rows[text].score - max(0, cosine[best])) < 1e-6
+
+
+def test_very_long_text_teaches(spark):
+    known = spark.createDataFrame([("ab " * 1_500_000, "x"), ("cd", "y")], "text string, lang string")
+    prototypes = langid.learn(known)
+    assert all(np.linalg.norm(v) > 0 for v in prototypes.values())
 
 
 def test_learn_and_predict(spark):
@@ -44,7 +93,7 @@ def test_learn_and_predict(spark):
 
 
 def test_accepted(spark):
-    rows = [(0, ENGLISH, "en"), (1, GERMAN, "de"), (2, "12 34", "en"), (3, None, None), (4, "ok", None), (5, "абвгд жзикл мнопр стуфх " * 20, None)]
+    rows = [(0, ENGLISH, "en"), (1, GERMAN, "de"), (2, "12 34", "en"), (3, None, None), (4, "ok", None), (5, "абвгд жзикл мнопр стуфх " * 20, None), (6, "абвгд жзикл мнопр стуфх " * 4, None)]
     kept = langid.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 4] and kept.columns == ["doc_id", "text", "lang"]
 
