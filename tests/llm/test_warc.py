@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import zlib
 
@@ -66,6 +67,74 @@ def test_unwanted_payloads_are_not_decoded(spark, tmp_path, monkeypatch):
     assert warc.read(spark, str(path), payload=False).count() == 2
 
 
+def test_blocks_of_unwanted_records_are_not_asked_for(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo
+    from pyspark.sql.types import StructType
+
+    kinds = ["response", "resource", "response", "metadata"]
+    made = [warc.record({"record_type": k, "record_id": f"<{i}>", "payload": b"text%d" % i}, i % 2 == 0) for i, k in enumerate(kinds)]
+    (tmp_path / "x.warc").write_bytes(b"".join(made))
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    read, real = [], warc.payload_of
+    monkeypatch.setattr(warc, "payload_of", lambda block, kind: read.append(block) or real(block, kind))
+    reader = warc.WarcReader(str(tmp_path), StructType.fromDDL("record_id string, payload binary"), True)
+    list(reader.pushFilters([EqualTo(("record_type",), "response")]))
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["record_id"], r["payload"]) for r in rows] == [("<0>", b"text0"), ("<2>", b"text2")] * 2 and len(read) == 4
+
+
+def test_folders_and_gzip(spark, tmp_path):
+    make = lambda i: warc.record({"record_type": "response", "record_id": f"<{i}>", "payload": b"p%d" % i * 3000}, False)
+    (tmp_path / "deep/er").mkdir(parents=True)
+    (tmp_path / "_work").mkdir()
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(make(1)) + gzip.compress(make(2)))
+    (tmp_path / "deep/er/b.warc").write_bytes(make(3))
+    (tmp_path / "deep/c.warc.gz").write_bytes(gzip.compress(make(4) + make(5)))
+    (tmp_path / "_work/d.warc").write_bytes(make(6)[:50])
+    (tmp_path / ".e.crc").write_bytes(b"x")
+    (tmp_path / "deep/f.warc").write_bytes(b"")
+    got = {(r.record_id, bytes(r.payload)) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert got == {(f"<{i}>", b"p%d" % i * 3000) for i in range(1, 6)}
+    assert [r.record_id for r in warc.read(spark, str(tmp_path / "a.warc.gz")).where("record_id = '<2>'").collect()] == ["<2>"]
+    assert warc.read(spark, str(tmp_path / "deep/er/b.warc"), payload=False).count() == 1
+    (tmp_path / "deep/notes.txt").write_text("x")
+    with pytest.raises(Exception, match="no WARC file"):
+        warc.read(spark, str(tmp_path)).count()
+    assert spark.read.format("warc").option("other", "skip").load(str(tmp_path)).count() == 5
+    with pytest.raises(Exception, match="nowhere"):
+        warc.read(spark, str(tmp_path / "nowhere")).count()
+    (tmp_path / "g").mkdir()
+    for broken, words in ((gzip.compress(make(1))[:-40], "ended|cut off"), (gzip.compress(make(1)[:-3000]), "cut off"), (gzip.compress(b"WARC/1.0\r\nA: b\r\n\r\n"), "without a length")):
+        (tmp_path / "g/x.warc.gz").write_bytes(broken)
+        with pytest.raises(Exception, match=words):
+            warc.read(spark, str(tmp_path / "g")).collect()
+    (tmp_path / "g/x.warc.gz").unlink()
+    (tmp_path / "g/x.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n")
+    with pytest.raises(Exception, match="without a length"):
+        warc.read(spark, str(tmp_path / "g")).collect()
+
+
+def test_gzip_archives_come_back(spark, tmp_path):
+    path = str(tmp_path / "z")
+    warc.register(spark)
+    warc.captures(pages(spark, ROWS)).write.format("warc").mode("append").option("gzip", "true").save(path)
+    files = list((tmp_path / "z").iterdir())
+    assert files and all(f.name.endswith(".warc.gz") for f in files)
+    rows = {(r.record_id, r.record_type): r for r in warc.read(spark, path).collect()}
+    assert len(rows) == len(set(ROWS)) and bytes(rows["<urn:page:7>", "response"].payload).decode() == ROWS[7][1]
+
+
+@pytest.mark.parametrize("fields,body,payload", [
+    ("Transfer-Encoding: chunked", b"4\r\nwiki\r\n6;x=y\r\npedia.\r\n0\r\n\r\n", b"wikipedia."),
+    ("Transfer-Encoding: chunked", b"not in chunks", b"not in chunks"), ("Transfer-Encoding: chunked", b"F\r\nshort", b"F\r\nshort"),
+    ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", b"%x\r\n%b\r\n0\r\n\r\n" % (len(gzip.compress(b"hi", mtime=0)), gzip.compress(b"hi", mtime=0)), b"hi"),
+    ("Content-Encoding: gzip", b"plain", b"plain"), ("Content-Encoding: deflate", zlib.compress(b"hi"), b"hi"), ("Content-Encoding: deflate", zlib.compress(b"hi")[2:-4], b"hi"),
+    ("Content-Encoding: br", b"raw", b"raw"),
+])
+def test_codings(fields, body, payload):
+    assert warc.payload_of(f"HTTP/1.1 200 OK\r\n{fields}\r\n\r\n".encode() + body, "application/http") == payload
+
+
 def test_foreign_records(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nplain body"
     head = f"WARC/1.0\r\nwarc-type: response\r\nWARC-Target-URI: http://a\r\n b\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n".encode()
