@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import sys
 import tempfile
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ MASK64 = (1 << 64) - 1
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bases of rolling hashes, any odd numbers.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-#: Words of 64 bits in a bitmap of keys, whatever the input's size: 4 MB as rows.
-BITMAP_WORDS = 1 << 18
+#: Words of 64 bits in a bitmap of keys, at least and at most; a quarter as many as there are keys is wanted. As rows that is 4 to 34 MB.
+BITMAP_WORDS, MOST_WORDS = 1 << 18, 1 << 21
+#: A key with more than one row in so many is hot; there are fewer of them than this.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioflow-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -75,7 +80,8 @@ def _trim() -> None:
 def map_arrow(df: DataFrame, run, schema, uses: str | None = None) -> DataFrame:
     """``mapInArrow`` in batches small enough for a worker, whatever the length of the texts.
 
-    ``uses`` names the memo that ``run`` asks for; a worker that has another one drops it first.
+    The limits of a batch are settings of the session that Spark reads when it runs the plan, so they are set for the
+    session and stay. ``uses`` names the memo that ``run`` asks for; a worker that has another one drops it first.
     """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -141,19 +147,40 @@ class Rolling:
         return mix64((self.sums[starts + size] - self.sums[starts]) * self.back[starts])
 
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """At most ``BITMAP_WORDS`` rows ``__word_``, ``__bits_``: which hashes of keys are there."""
-    return _places(keys, key).groupBy("__word_").agg(F.bit_or(F.expr("shiftleft(1L, __bit_)")).alias("__bits_"))
+class Bits(NamedTuple):
+    """Rows ``__word_``, ``__bits_``: which hashes of keys are there, in a bitmap of so many words."""
 
+    rows: DataFrame
+    words: int
 
-def _places(df: DataFrame, key: str) -> DataFrame:
+
+def bitmap(keys: DataFrame, key: str) -> Bits:
+    """A bitmap of the keys, which are counted first; it is broadcast, so its size has a bound, beyond which it fills up."""
+    wanted = max(BITMAP_WORDS, min(MOST_WORDS, keys.count() // 4))
+    words = 1 << (wanted - 1).bit_length()
+    return Bits(_places(keys, key, words).groupBy("__word_").agg(F.bit_or(F.expr("shiftleft(1L, __bit_)")).alias("__bits_")), words)
+
+
+def _places(df: DataFrame, key: str, words: int) -> DataFrame:
     h = F.xxhash64(F.col(key))
-    return df.withColumns({"__word_": F.pmod(h, F.lit(BITMAP_WORDS)), "__bit_": F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")})
+    return df.withColumns({"__word_": F.pmod(h, F.lit(words)), "__bit_": F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")})
 
 
-def split(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key may be in the bitmap, and the others. The bitmap has a fixed size and is broadcast."""
-    marked = _places(df, key).join(F.broadcast(bits), "__word_", "left")
+def split(df: DataFrame, key: str, bits: Bits) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in the bitmap, and the others."""
+    marked = _places(df, key, bits.words).join(F.broadcast(bits.rows), "__word_", "left")
     there = F.col("__bits_").isNotNull() & F.expr("(shiftrightunsigned(__bits_, __bit_) & 1) = 1")
     clean = lambda x: x.drop("__word_", "__bit_", "__bits_")
     return clean(marked.where(there)), clean(marked.where(~F.coalesce(there, F.lit(False))))
+
+
+def spread_join(df: DataFrame, small: DataFrame, key: str, many: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``small``, which has one row for each key and the number of its rows in ``df``, by a column of that name.
+
+    Hot keys are joined where their rows are: fewer than ``HOT`` rows of ``small`` have more than their share of all, and these are broadcast. Only
+    the rows of other keys are shuffled, so no task gets a large group. Both frames are read several times and should be materialised.
+    """
+    total = small.agg(F.sum(many)).first()[0] or 0
+    hot, cold = small.where(F.col(many) > total // HOT), small.where(F.col(many) <= total // HOT)
+    rest = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop(many), key, how)
+    return df.join(F.broadcast(hot.drop(many)), key).unionByName(rest)

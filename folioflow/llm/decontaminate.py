@@ -11,7 +11,7 @@ reach the share ``SIMILARITY`` of all its windows, also those that no template i
 numbers or names is found as it is only. An item of fewer than ``WINDOW`` words has one window, all of its words, and is found wherever these
 words stand in a row.
 
-A bitmap of fixed size over the items' window hashes keeps most windows of clean documents out of the shuffle; where
+A bitmap of bounded size over the items' window hashes keeps most windows of clean documents out of the shuffle; where
 many items fill it up, more windows are shuffled and none is missed. Spark chooses the join by the items' size.
 
 Defined results: null texts have no words; items without words are found nowhere; a text of any length is read whole, and its rows

@@ -7,16 +7,17 @@ The likeness of two fingerprints is the share of equal bins among those that eit
 of the phrase sets' Jaccard similarity.
 
 ``with_next`` gives each document its follower in the order of ids, at any size: the ids (not the texts) are summarised
-into range boundaries that are ids themselves, every row goes to its range once, and the first document
-of a range also to the range before it. A task then reads its range in order, holding two documents at a time.
+into range boundaries that are ids themselves (ids that aren't numbers by a sample, chosen by hash, of ``SAMPLED`` ids for each range), every row
+goes to its range once, and the first document of a range also to the range before it. A task then reads its range in order, holding two documents at a time.
 
-Defined results: null text counts as empty; an empty text has no phrases and the fingerprint of empty bins, and two
+Defined results: ids of any type with an order will do; texts of any length are parsed whole; null text counts as empty; an empty text has no phrases and the fingerprint of empty bins, and two
 such are alike (1); null ids come first; rows with equal ids follow each other in the order of their
 texts; a single document follows itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -31,6 +32,8 @@ from folioflow.llm.common import BASES, Rolling, map_arrow, mix64, shuffle_parti
 BINS = 64
 #: Ranges for each shuffle partition, to even out how they fall.
 RANGES = 3
+#: Sampled ids for each range, where ids aren't numbers.
+SAMPLED = 100
 
 
 def parse(text: str, start: int, known: int, end: int, seen: set[str], cuts: list[int]) -> int:
@@ -83,17 +86,23 @@ def with_next(docs: DataFrame, make, fields: list[T.StructField], doc_id: str =
     kind = docs.schema[doc_id].dataType
     n = shuffle_partitions(docs.sparkSession)
     shares = [i / (RANGES * n) for i in range(1, RANGES * n)]
-    known = docs.agg(F.min(doc_id), F.percentile_approx(doc_id, shares, 100 * len(shares)), F.count("*"), F.count(doc_id)).first()
-    begins = sorted({known[0], *(known[1] or [])}) if known[0] is not None else []
+    numeric = isinstance(kind, T.NumericType)
+    cuts = F.percentile_approx(doc_id, shares, 100 * len(shares)) if numeric else F.lit(None)
+    known = docs.agg(F.min(doc_id), cuts, F.count("*"), F.count(doc_id)).first()
+    found = known[1] or []
+    if not numeric and known[3]:
+        part = max(1, known[3] // (SAMPLED * RANGES * n))
+        sample = sorted(r[0] for r in docs.where(F.col(doc_id).isNotNull() & (F.pmod(F.xxhash64(doc_id), F.lit(part)) == 0)).select(doc_id).distinct().collect())
+        found = [sample[int(x * len(sample))] for x in shares] if sample else []
+    begins = sorted({known[0], *found}) if known[0] is not None else []
     nulls = known[2] > known[3]
     last = max(0, len(begins) - 1)
     schema = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("ahead", T.IntegerType()), T.StructField("id", kind), T.StructField("text", T.StringType())])
 
     def deal(batches):
-        edges = np.array(begins)
         for batch in batches:
             ids, rows = batch.column(doc_id).to_pylist(), batch.column(text)
-            at = np.array([0 if x is None else max(0, int(np.searchsorted(edges, x, "right")) - 1) for x in ids], np.int32)
+            at = np.array([0 if x is None else max(0, bisect.bisect_right(begins, x) - 1) for x in ids], np.int32)
             first = [x is None if nulls and (x is None or at[i] == 0) else x == begins[at[i]] for i, x in enumerate(ids)]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(ids), np.int32)), batch.column(doc_id), rows], names=schema.names)
             chosen = [i for i, x in enumerate(first) if x]

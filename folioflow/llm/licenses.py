@@ -9,8 +9,9 @@ Base phrases are counted apart from the rules; nothing suppresses them.
 
 Everything stays in the row: no shuffle, no Python. The work for a text grows with its length and its matches.
 
-Defined results: null and empty texts have no words and no labels (empty strings), null places and score 0;
-repeated rows are scanned each for itself; other columns are kept.
+Defined results: null and empty texts have no words and no labels (empty strings), null places and score 0; texts of any length
+are scanned whole; of matches with equal places and priority the one whose label comes first stays; repeated rows are scanned each for itself;
+an empty table gives no rows; other columns are kept, those called ``n_words``, ``base`` or ``detections`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Base phrases, in words, and their labels.
@@ -158,10 +160,83 @@ OTHERS = [
     ("licensed", "licen", r"licen[cs]ed (?:under|to)", 5, 0.3),
 ]
 
+#: Sentences of license texts, grants, conditions and notices: label, keyword, expression. They count as much as a name in a grant.
+SENTENCES = [
+    ("apache-2.0", "compliance with the licen", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("apache-2.0", "distributed under the licen", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e"),
+    ("apache-2.0", "language governing permission", r"see the licen[cs]e for the specific language governing permissions and limitations"),
+    ("apache-2.0", "irrevocable copyright licen", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e"),
+    ("apache-2.0", "patent licen", r"(?:irrevocable )?(?:except as stated in this section )?patent licen[cs]e to make have made use offer to sell"),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("mit", "above copyright notice and this permission", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies"),
+    ("mit", "copyright holders be liable", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("bsd", "redistributions of source code", r"redistributions of source code must retain the (?:above )?copyright notice"),
+    ("bsd", "redistributions in binary form", r"redistributions in binary form must reproduce the (?:above )?copyright notice"),
+    ("bsd-3-clause", "written permission", r"be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd", "copyright holders and contributors", r"this software is provided by the copyright holders and contributors as is"),
+    ("isc", "copyright notice and this permission notice appear", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "all warranties with regard", r"the author disclaims all warranties with regard to this software"),
+    ("zlib", "implied warrant", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such"),
+    ("gpl", "terms of the gnu general public licen", r"under the terms of the gnu general public licen[cs]e as published by the free software foundation"),
+    ("gpl-2.0-or-later", "either version 2 of the licen", r"either version 2 of the licen[cs]e or (?:at your option )?any later version"),
+    ("gpl-3.0-or-later", "either version 3 of the licen", r"either version 3 of the licen[cs]e or (?:at your option )?any later version"),
+    ("gpl", "useful but without any warrant", r"distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "received a copy of the gnu", r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("lgpl", "received a copy of the gnu", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl", "received a copy of the gnu", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("agpl", "interacting with it remotely", r"all users interacting with it remotely through a computer network"),
+    ("lgpl", "work that uses the library", r"a program that contains no derivative of any portion of the library .{1,120}? is called a work that uses the library"),
+    ("gfdl", "invariant sections", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("gfdl", "permission is granted to copy", r"permission is granted to copy distribute and or modify this document under the terms of"),
+    ("mpl-2.0", "mozilla public licen", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl-1.1", "mozilla public licen", r"the contents of this file are subject to the mozilla public licen[cs]e"),
+    ("epl", "eclipse public licen", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cddl-1.0", "common development and distribution licen", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("eupl-1.2", "european union public licen", r"this work is (?:licensed|provided) under the terms of (?:this|the) european union public licen[cs]e"),
+    ("bsl-1.0", "permission is hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("artistic", "standard version", r"you may (?:distribute|make and give away) verbatim copies of the (?:source form of the )?standard version"),
+    ("psf-2.0", "python software foundation", r"this licen[cs]e agreement is between the python software foundation"),
+    ("php-3.0", "includes php software", r"this product includes php software freely available from"),
+    ("openssl", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("w3c", "copying this work you the licen", r"by obtaining (?:using )?and or copying this work you the licen[cs]ee agree"),
+    ("wtfpl", "you want to public licen", r"do what the \S+ you want to public licen[cs]e"),
+    ("unlicense", "dedicate any and all copyright", r"the author or authors of this software dedicate any and all copyright interest"),
+    ("cc0-1.0", "waived all copyright", r"has waived all copyright and related or neighbou?ring rights"),
+    ("cc0-1.0", "dedicated the work to the public domain", r"dedicated the work to the public domain"),
+    ("ofl-1.1", "reserved font name", r"no modified version of the font software may use the reserved font names?"),
+    ("ofl-1.1", "reserved font name", r"with reserved font names?"),
+    ("odbl-1.0", "database are licen", r"any rights in individual contents of the database are licen[cs]ed under"),
+    ("ogl-uk", "public sector information licen", r"contains public sector information licen[cs]ed under"),
+    ("creative-commons", "substitute for the licen", r"this is a human readable summary of and not a substitute for the licen[cs]e"),
+    ("creative-commons", "exercising the licen", r"by exercising the licen[cs]ed rights you accept and agree to be bound by"),
+    ("cc-by-plain", "link to the licen", r"you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made"),
+    ("cc-by-sa", "under the same licen", r"you must distribute your contributions under the same licen[cs]e as the original"),
+    ("cc-by-nc", "commercial purposes", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", "distribute the modified material", r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("busl-1.1", "licensor may make", r"(?:the )?licensor may make an additional use grant"),
+    ("sspl-1.0", "terms of", r"service source code under the terms of (?:this|the server side public) licen[cs]e"),
+    ("elastic-2.0", "limitations of the licen", r"provide the software to third parties as a hosted or managed service (?:\S+ ){0,20}?limitations of the licen[cs]e"),
+    ("commons-clause", "grant of rights under the licen", r"the grant of rights under the licen[cs]e will not include .{1,80}? right to sell the software"),
+    ("openrail", "copyright and use based", r"copyright and use based restrictions (?:as )?(?:set forth|referenced|contained) in"),
+    ("llama-community", "must request a licen", r"greater than 700 million monthly active users .{1,80}? must request a licen[cs]e"),
+    ("proprietary", "copyright law", r"unauthori[sz]ed (?:copying|reproduction|use|distribution) of this (?:file|software|document|material|work) (?:\S+ ){0,12}?copyright laws?"),
+    ("proprietary", "proprietary", r"contains (?:confidential and )?proprietary (?:information and )?trade secrets"),
+    ("all-rights-reserved", "rights reserved", r"all (?:other |international )?rights reserved worldwide"),
+    ("no-reproduction", "prior written permission", r"without (?:the )?(?:express )?prior written permission of the (?:publisher|author|copyright (?:holder|owner))s?"),
+    ("non-commercial", "commercial use only", r"for personal (?:and )?non ?commercial use only"),
+    ("fair-use", "copyright disclaimer", r"copyright disclaimer under section 107 of the copyright act"),
+    ("crown-copyright", "crown copyright", r"(?:this is )?crown copyright(?: material)?(?: (?:19|20)\d\d)?"),
+    ("eula", "end user licen", r"(?:this )?end user licen[cs]e agreement"),
+]
+
 #: One of these stands in every keyword.
 STEMS = ["licen", "copyright", "reserved", "cc by", "creative", "gpl", "apache", "mit ", "bsd", "gnu", "spdx", "public domain", "warrant", "permission",
          "redistribution", "distribut", "proprietary", "cc0", "libpng", "wtfpl", "w3c", "zlib", "rail", "expat", "responsible ai", "commons clause", "reproduced", "commercial",
-         "free software", "unencumbered", "terms of", "opensource org", "mozilla org"]
+         "free software", "unencumbered", "terms of", "opensource org", "mozilla org", "misrepresented", "altered source", "advertising materials", "remotely", "uses the library",
+         "invariant sections", "standard version", "python software", "php software", "openssl toolkit"]
 
 #: Priorities run from 0 to one less than this.
 LEVELS = 6
@@ -179,7 +254,7 @@ class Rule:
 def rules() -> list[Rule]:
     """Hundreds of rules in order: ids, addresses and texts, then names in each form."""
     out = [Rule("spdx:" + x.replace(" ", "-"), "spdx license identifier", f"spdx license identifier {x}", 0, 1.0) for x in SPDX]
-    out += [Rule(*x) for x in OTHERS]
+    out += [Rule(*x) for x in OTHERS] + [Rule(*x, 1, 0.95) for x in SENTENCES]
     for priority, confidence, before, after in FORMS:
         out += [Rule(label, keyword, before + name + after, priority, confidence) for label, keyword, name in NAMES]
     return out
@@ -189,15 +264,15 @@ def _text(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(words: str, expression: str) -> tuple[str, str]:
-    """SQL for the starts and the ends (exclusive) of an expression's matches, as word indexes.
+def _spans(words: str, expression: str, made: str) -> str:
+    """SQL for an array of ``made``, of s and e, the start and the end (exclusive) as word indexes of each match of an expression.
 
-    Marks, which no word holds, are put round every match; then the words are numbered.
+    Marks, which no word holds, are put round every match; then the words are numbered. The lambda makes Spark do that once.
     """
-    marked = f"split(regexp_replace({words}, concat('(?<= )(?:', {expression}, ')(?= )'), '\\u0002$0\\u0003'), ' ')"
-    starts = f"filter(transform({marked}, (w, i) -> IF(startswith(w, '\\u0002'), i - 1, NULL)), v -> v IS NOT NULL)"
-    ends = f"filter(transform({marked}, (w, i) -> IF(endswith(w, '\\u0003'), i, NULL)), v -> v IS NOT NULL)"
-    return starts, ends
+    marked = f"split(regexp_replace({words}, concat('(?<= )(?:', {expression}, ')(?= )'), '\u0002$0\u0003'), ' ')"
+    starts = "filter(transform(m, (w, i) -> IF(startswith(w, '\u0002'), i - 1, NULL)), v -> v IS NOT NULL)"
+    ends = "filter(transform(m, (w, i) -> IF(endswith(w, '\u0003'), i, NULL)), v -> v IS NOT NULL)"
+    return f"flatten(transform(array({marked}), m -> zip_with({starts}, {ends}, (s, e) -> {made})))"
 
 
 def scan(df: DataFrame, text: str = "text", signatures: list[Rule] | None = None, base: dict[str, str] = BASE) -> DataFrame:
@@ -211,12 +286,11 @@ def scan(df: DataFrame, text: str = "text", signatures: list[Rule] | None = None
         if not any(s in f" {r.keyword} " for s in stems):
             raise ValueError(f"no stem for the keyword {r.keyword!r}")
         re.compile(r.expression)
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, " ")), F.lit(" "))
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower()), NOT_WORD, " ")), F.lit(" "))
     table = "array(" + ", ".join(f"named_struct('label', {_text(r.label)}, 'keyword', {_text(r.keyword)}, 'expression', {_text(r.expression)}, "
                                  f"'priority', {r.priority}, 'confidence', {r.confidence}D)" for r in signatures) + ")"
-    starts, ends = _spans("__words_", "r.expression")
-    found = (f"flatten(transform(filter({table}, r -> contains(__words_, r.keyword)), r -> zip_with({starts}, {ends}, "
-             "(s, e) -> named_struct('start', s, 'back', -e, 'priority', r.priority, 'label', r.label, 'confidence', r.confidence))))")
+    spans = _spans("__words_", "r.expression", "named_struct('start', s, 'back', -e, 'priority', r.priority, 'label', r.label, 'confidence', r.confidence)")
+    found = f"flatten(transform(filter({table}, r -> contains(__words_, r.keyword)), r -> {spans}))"
     gate = " OR ".join(f"contains(__words_, {_text(s)})" for s in stems)
     empty = "filter(array(named_struct('start', 0, 'back', 0, 'priority', 0, 'label', '', 'confidence', 0D)), x -> false)"
     # In order of start, longest first, whatever contains a match stands before it; the fold keeps the farthest end by priority.
@@ -226,8 +300,8 @@ def scan(df: DataFrame, text: str = "text", signatures: list[Rule] | None = None
             "'ends', transform(a.ends, (e, i) -> IF(i = x.priority, greatest(e, -x.back), e)), 'kept', concat(a.kept, array(x)))), a -> a.kept)")
     found_base = []
     for phrase, label in base.items():
-        s, e = _spans("__words_", _text(phrase))
-        found_base.append(f"IF(contains(__words_, {_text(f' {phrase} ')}), zip_with({s}, {e}, (s, e) -> named_struct('start', s, 'end', e, 'label', {_text(label)})), "
+        spans = _spans("__words_", _text(phrase), f"named_struct('start', s, 'end', e, 'label', {_text(label)})")
+        found_base.append(f"IF(contains(__words_, {_text(f' {phrase} ')}), {spans}, "
                           "filter(array(named_struct('start', 0, 'end', 0, 'label', '')), x -> false))")
     out = df.withColumn("__words_", words)
     out = out.withColumns({

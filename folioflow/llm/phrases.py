@@ -10,12 +10,14 @@ smaller id. The search works on repeated phrases:
 3. The recurring phrases are dealt into shards by owner, and each shard's are compiled into an Aho-Corasick
    automaton whose letters are words. A document is streamed through the automata of the shards whose phrases it
    shares, which locates every occurrence. So the work grows with the text, not with text times shards. Shards
-   that many documents visit are salted: each salt has the shard's phrases and a part of its visitors.
+   that more documents visit than the average are salted: each salt has the shard's phrases and a part of its visitors. Shards and their further
+   salts are numbered and dealt to tasks by number, so that tasks are even. Of all shards those are salted that have more than
+   their share of ``SALTED`` parts of the visits, so that their table, which is broadcast, has a bound.
 4. Every window round an occurrence is confirmed by a hash of 96 bits: its least document is an aggregate, and the
    windows of other documents go.
 5. Texts with something to remove are read again and edited; all others pass without a shuffle.
 
-Which documents are read again is told by a bitmap of fixed size over hashes of ids; where it fills up at very
+Which documents are read again is told by a bitmap of bounded size over hashes of ids; where it fills up at very
 large inputs, more texts are shuffled and none is missed.
 
 Defined results: null text has no words; documents of fewer than ``WINDOW`` words stay whole; windows that
@@ -29,16 +31,18 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import BASES, Rolling, bitmap, cut, map_arrow, memo, shuffle_partitions, split, texts
+from folioflow.llm.common import BASES, Rolling, bitmap, cut, map_arrow, memo, shuffle_partitions, split, spread_join, texts
 
 WINDOW = 50
 PHRASE = 10
 #: Phrases of one automaton, on average at most.
 AUTOMATON = 20_000
+#: Shards that are salted at most; tasks for each shuffle partition at most; visitors of a salt at least.
+SALTED, TASKS, VISITORS = 100_000, 8, 100
 #: Entries of the memo of word hashes; a full memo is emptied.
 MEMO = 300_000
 
@@ -93,8 +97,11 @@ def scan(docs: DataFrame, doc_id: str, text: str, window: int, phrase: int) -> D
     return map_arrow(rows, run, f"doc {kind}, tag long, whole string, anchors array<long>", WORDS).where("size(anchors) > 0")
 
 
-def locate(docs: DataFrame, visits: DataFrame, salts: DataFrame, doc_id: str, text: str, window: int, phrase: int, n: int) -> DataFrame:
-    """Windows round the occurrences of recurring phrases: ``doc``, ``tag`` and arrays of hash, check and first start."""
+def locate(docs: DataFrame, visits: DataFrame, salts: DataFrame, doc_id: str, text: str, window: int, phrase: int, shards: int, tasks: int) -> DataFrame:
+    """Windows round the occurrences of recurring phrases: ``doc``, ``tag`` and arrays of hash, check and first start.
+
+    ``salts`` has ``shard``, ``salts`` and ``before``, the further salts of the shards before it, for shards with more than one salt.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def deal(batches):
@@ -157,10 +164,11 @@ def locate(docs: DataFrame, visits: DataFrame, salts: DataFrame, doc_id: str, te
     types = [pa.int32(), pa.int32(), to_arrow_type(docs.schema[doc_id].dataType), pa.int64(), pa.string()]
     whole = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("tag")).join(visits, "doc")
     dealt = map_arrow(whole, deal, f"shard int, kind int, doc {kind}, tag long, text string", WORDS)
-    # One row for each shard; phrases go to every salt of theirs, documents to one.
-    salted = dealt.join(F.broadcast(salts), "shard").withColumn(
-        "salt", F.explode(F.expr("IF(kind = 0, sequence(0, salts - 1), array(CAST(pmod(xxhash64(doc, tag), salts) AS INT)))"))).drop("salts")
-    ordered = salted.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    # Phrases go to every salt of their shard, documents to one.
+    salted = dealt.join(F.broadcast(salts), "shard", "left").fillna({"salts": 1, "before": 0}).withColumn(
+        "salt", F.explode(F.expr("IF(kind = 0, sequence(0, salts - 1), array(CAST(pmod(xxhash64(doc, tag), salts) AS INT)))")))
+    placed = salted.withColumn("place", F.expr(f"IF(salt = 0, CAST(shard AS BIGINT), {shards} + before + salt - 1)")).drop("salts", "before")
+    ordered = placed.repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "salt", "kind")
     return map_arrow(ordered, search, f"doc {kind}, tag long, wide array<long>, more array<int>, start array<int>", WORDS)
 
 
@@ -168,9 +176,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     """``doc``, ``tag`` (hash of the text) and ``starts``: the first starts of the windows to remove, which go wherever they stand in the text; null: all words go."""
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     scanned = cut(scan(docs, doc_id, text, window, phrase))
-    first = scanned.groupBy("whole").agg(F.min("doc").alias("first"))
-    marked = scanned.select("doc", "tag", "whole").join(first, "whole")
-    copies = cut(marked.where("doc > first").select("doc", "tag"))
+    first = cut(scanned.groupBy("whole").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    copies = cut(spread_join(scanned.select("doc", "tag", "whole"), first, "whole", "n").where("doc > first").select("doc", "tag"))
     # Copies pass on nothing that the first of them doesn't.
     maybe, rest = split(scanned, "doc", bitmap(copies, "doc"))
     once = rest.unionByName(maybe.join(copies, ["doc", "tag"], "left_anti"))
@@ -183,9 +190,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
         F.max(F.expr("IF(doc = owner, home, NULL)")).alias("home")))
     loads = visits.select(F.explode("shards").alias("shard")).groupBy("shard").count()
     total = visits.agg(F.sum(F.size("shards"))).first()[0] or 0
-    salts = loads.select("shard", F.expr(f"CAST(greatest(1, ceil(count / {max(100, 2 * total // shards)})) AS INT)").alias("salts"))
+    limit = max(VISITORS, total // shards, total // SALTED)
+    salts = cut(loads.where(F.col("count") > limit).select("shard", F.expr(f"CAST(ceil(count / {limit}) AS INT)").alias("salts")).withColumn(
+        "before", F.coalesce(F.sum(F.col("salts") - 1).over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    further = salts.agg(F.sum(F.col("salts") - 1)).first()[0] or 0
     again, _ = split(docs, doc_id, bitmap(visits, "doc"))
-    windows = cut(locate(again, visits, salts, doc_id, text, window, phrase, n))
+    windows = cut(locate(again, visits, salts, doc_id, text, window, phrase, shards, min(shards + further, TASKS * n)))
     each = windows.select("doc", "tag", F.expr("inline(arrays_zip(wide, more, start))"))
     least = each.groupBy("wide", "more").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").drop("last")
     gone = each.join(least, ["wide", "more"]).where("doc > least").select("doc", "tag", "start")

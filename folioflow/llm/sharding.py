@@ -6,9 +6,11 @@ the partition gives each row's own start. Row i belongs to the shard in whose eq
 bytes its middle byte lies, so shard boundaries fall at equal targets and a shard misses its share
 by less than one row. Only DataFrame functions are used and no task sees more than one partition.
 
+Ordered by a text's checksum first, equal texts stand together: a group of them lies in one shard, unless it is larger
+than what is left of it. A group isn't moved as a whole, as one with a third of all rows would undo the equal sizes.
+
 Defined results: null text has size 1 (no bytes plus 1) and the checksum of the empty text; rows
-with equal order columns are dealt in the order of checksum and size, repeated rows one after the
-other; an empty table gives no rows. Other columns of the input are not touched and not needed.
+with equal order columns follow each other in any order, repeated rows one after the other; an empty table gives no rows. Other columns of the input are not touched and not needed.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import bitmap, cut, map_arrow, split, texts
+from folioflow.llm.common import bitmap, cut, map_arrow, split, spread_join, texts
 from folioflow.llm.components import components
 
 SHINGLE = 3
@@ -95,11 +95,12 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def groups(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``prints`` with ``component_id``, the smallest doc_id reachable over links of ``fp``, and ``root``, a name of the group."""
     prints = cut(prints)
-    distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("__least_")))
+    distinct = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("__least_"), F.count("*").alias("__n_")))
     found = components(links(distinct.select("fp")), "a", "b").withColumnRenamed("node", "fp")
-    rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("__least_").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    rooted = cut(distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = cut(rooted.groupBy("root").agg(F.min("__least_").alias("component_id"), F.count("*").alias("__of_")))
+    named = cut(spread_join(rooted, least, "root", "__of_").select("fp", "root", "component_id", "__n_"))
+    return spread_join(prints, named, "fp", "__n_")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -110,7 +111,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group: that of the smallest doc_id, of several such that of the smallest text hash, once.
 
-    Only rows that go, or that repeat, are joined; a bitmap of fixed size tells the others, which aren't shuffled.
+    Only rows that go, or that repeat, are joined; a bitmap of bounded size tells the others, which aren't shuffled.
     """
     docs = docs.withColumn("__row_", F.xxhash64(doc_id, text))
     return keep_first(docs, cut(groups(fingerprints(docs.select(doc_id, text, "__row_"), text), doc_id)), doc_id).drop("__row_")
@@ -118,8 +119,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 def keep_first(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
     """The first row of each ``root`` of ``found``, which names the rows of ``docs`` by ``__row_``."""
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id), F.col("__row_"))).alias("keep"))
-    marked = found.groupBy("root", "__row_").count().join(first, "root").withColumn("__stays_", F.col("__row_") == F.col("keep.__row_"))
+    rows = cut(found.groupBy("root", "__row_").agg(F.count("*").alias("count"), F.min(F.col(doc_id)).alias("__id_")))
+    first = cut(rows.groupBy("root").agg(F.min(F.struct(F.col("__id_").isNull().alias("none"), F.col("__id_"), F.col("__row_"))).alias("keep"), F.count("*").alias("__n_")))
+    marked = spread_join(rows.drop("__id_"), first, "root", "__n_").withColumn("__stays_", F.col("__row_") == F.col("keep.__row_"))
     touched = cut(marked.where(~F.col("__stays_") | (F.col("count") > 1)).groupBy(F.col("__row_").alias("__touched_")).agg(F.max("__stays_").alias("__stays_")))
     maybe, rest = split(docs, "__row_", bitmap(touched, "__touched_"))
     joined = maybe.join(touched, F.col("__row_") == F.col("__touched_"), "left")

@@ -36,7 +36,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     IsNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage)
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from folioflow.llm.common import bitmap, split
+from folioflow.llm.common import bitmap, cut, split, spread_join
 
 FORMAT = "warc"
 SCHEMA = ("record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, "
@@ -363,16 +363,16 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """A record for each page: of equal payloads of ``least`` bytes or more only that of the largest page_id is stored.
 
     Rows with the largest page_id of their payload are all responses, also if they repeat; null page_ids count as
-    the smallest. Only payloads that may have an equal one are shuffled (a bitmap of fixed size tells).
+    the smallest. Only payloads that may have an equal one are shuffled (a bitmap tells), and of very many equal ones none.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumns({"payload_length": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     groups = rows.where(F.col("payload_length") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n"))
-    groups = groups.where("n > 1").select("digest", "first")
+    groups = cut(groups.where("n > 1"))
     maybe, single = split(rows, "digest", bitmap(groups, "digest"))
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    both = maybe.join(groups, "digest", "left").select(*single.columns, F.when(again, F.col("first")).alias("first")).unionByName(
+    both = spread_join(maybe, groups, "digest", "n", "left").select(*single.columns, F.when(again, F.col("first")).alias("first")).unionByName(
         single.withColumn("first", F.lit(None).cast(rows.schema["id"].dataType)))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     revisit = F.col("first").isNotNull()

@@ -1,21 +1,36 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from folioflow.llm import fingerprints as P
 from folioflow.llm import queries
+from folioflow.llm.common import BASES
 from tests.llm.common import documents, save
 
 
+M = (1 << 64) - 1
+
+
+def mixed(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
 def plain(text):
-    seen, cuts, start = set(), [], 0
+    """Phrases one by one, each hashed letter by letter, the least hash of each bin."""
+    seen, start = set(), 0
     for end in range(1, len(text) + 1):
         if text[start:end] not in seen:
             seen.add(text[start:end])
-            cuts.append(end)
             start = end
-    return P.fingerprint(text, cuts)
+    least = {}
+    for phrase in seen:
+        h = mixed(sum(mixed(ord(c) + 1) * pow(BASES[0], i, M + 1) for i, c in enumerate(phrase)) & M)
+        least[h >> 58] = min(h, least.get(h >> 58, M))
+    return np.array([1 + least[i] % 65535 if i in least else 0 for i in range(64)])
 
 
 def brute(rows):
@@ -43,6 +58,20 @@ def test_like_brute_force(spark, n, ids):
     assert sorted(got(frame), key=repr) == sorted(brute(rows), key=repr)
 
 
+@pytest.mark.parametrize("n", [1, 2, 50])
+def test_ids_of_text_and_days(spark, n):
+    rand = random.Random(n)
+    rows = [(None if rand.random() < 0.1 else rand.choice(["a", "B", "ü", "🙂"]) * rand.randrange(1, 9), "".join(rand.choices("ab c", k=rand.randrange(40)))) for _ in range(n)]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    places = {r: i for i, r in enumerate(dict.fromkeys(want))}
+    like = brute([(places[r], r[1]) for r in rows])
+    name = {i: r[0] for r, i in places.items()}
+    found = got(spark.createDataFrame(rows, "doc_id string, text string").repartition(3))
+    assert sorted(found, key=repr) == sorted(((name[x[0]], *x[1:]) for x in like), key=repr)
+    day = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("date_add(DATE'2020-01-01', length(doc_id)) AS doc_id", "text")
+    assert len(got(day)) == n
+
+
 def test_null_ids_come_first(spark):
     rows = [(None, "abc"), (2, "def ghi"), (1, "jkl mno pqr")]
     assert sorted(got(spark.createDataFrame(rows, "doc_id long, text string")), key=repr) == sorted(brute(rows), key=repr)

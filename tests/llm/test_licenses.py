@@ -1,3 +1,4 @@
+import random
 import re
 
 from folioflow.llm import licenses as L
@@ -54,9 +55,57 @@ def test_suppression(spark):
     assert [(d.start, d.end, d.label) for d in found] == [(0, 3, "big"), (1, 2, "strong"), (2, 4, "over"), (4, 5, "strong")]
 
 
+def plain_detections(text, signatures):
+    """All matches of all rules, each compared with every other."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    line = " " + " ".join(words) + " "
+    found = set()
+    for r in signatures:
+        for m in re.finditer(f"(?<= )(?:{r.expression})(?= )", line):
+            a, b = line[: m.start()].count(" ") - 1, line[: m.end()].count(" ")
+            found.add((a, b, r.priority, r.label, r.confidence))
+
+    def goes(x):
+        for y in found:
+            if y != x and y[0] <= x[0] and y[1] >= x[1]:
+                wider = (y[0], y[1]) != (x[0], x[1])
+                if y[2] < x[2] or y[2] == x[2] and (wider or y[3:] < x[3:]):
+                    return True
+        return False
+
+    return sorted((a, b, label, p, c) for a, b, p, label, c in found if not goes((a, b, p, label, c)))
+
+
+def test_detections_like_plain(spark, sf_dir):
+    """Every rule's samples, mixed into each other, and all documents of a table."""
+    rng = random.Random(7)
+    made = L.rules()
+    parts = [rng.choice(samples(re._parser.parse(r.expression))) for r in made]
+    mixed = [" and ".join(rng.sample(parts, 4)) + "." for _ in range(250)] + [p.title() for p in parts]
+    mixed += [" ".join(w for p in rng.sample(parts, 3) for w in p.split()[: rng.randrange(1, 9)]) for _ in range(150)]
+    for frame in (spark.createDataFrame([(x,) for x in mixed], "text string"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")):
+        rows = L.scan(frame).collect()
+        some = 0
+        for r in rows:
+            got = sorted((d.start, d.end, d.label, d.priority, d.confidence) for d in r.detections)
+            assert got == plain_detections(r.text, made), r.text
+            some += bool(got)
+        assert some > 5
+
+
+def test_only_ascii_letters_change_case(spark):
+    r = L.scan(spark.createDataFrame([("\u212AEY \u0130 All Rights Reserved",)], "text string")).first()  # the Kelvin sign's lower case is an ASCII letter
+    assert r.n_words == 5 and [b.start for b in r.base] == [2]
+
+
+def test_clashing_columns(spark):
+    r = L.scan(spark.createDataFrame([("CC BY", 7, "x", "y")], "text string, n_words int, base string, detections string")).first()
+    assert r.n_words == 2 and r.base[0].label == "cc-by"
+
+
 def test_rules():
     made = L.rules()
-    assert len(made) > 200 and all(0 <= r.priority < L.LEVELS and 0 < r.confidence <= 1 for r in made)
+    assert len(made) > 350 and all(0 <= r.priority < L.LEVELS and 0 < r.confidence <= 1 for r in made)
     assert not any(re.fullmatch(r.expression, "") for r in made)
 
 
@@ -73,8 +122,10 @@ def samples(parsed):
             more = [x for part in arg[1] for x in samples(part)]
         elif name == "SUBPATTERN":
             more = samples(arg[3])
+        elif name == "ANY":
+            more = ["x"]
         else:
-            assert name == "MAX_REPEAT", name
+            assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
             once = samples(arg[2])
             more = [x * n for n in {arg[0], min(arg[1], arg[0] + 1)} for x in once]
         out = [a + b for a in out for b in more]
@@ -82,7 +133,7 @@ def samples(parsed):
 
 
 def test_keyword_stands_in_every_match():
-    names = [(k, x) for _, k, x in L.NAMES] + [(k, x) for _, k, x, *_ in L.OTHERS]
+    names = [(k, x) for _, k, x in L.NAMES + L.SENTENCES] + [(k, x) for _, k, x, *_ in L.OTHERS]
     for keyword, expression in names:
         made = samples(re._parser.parse(expression))
         assert any(s in f" {keyword} " for s in L.STEMS) and all(re.fullmatch(expression, x) and keyword in x for x in made), (keyword, expression)
