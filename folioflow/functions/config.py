@@ -33,8 +33,10 @@ class Options:
     google_max_workers: int = 8
     google_timeout: float = 30.0
     keep_debug: bool = False
-    #: On a page that can't be translated: ``raise``, or translate the document by segments.
-    on_page_failure: str = "raise"
+    #: A font file for the text that is set; without one, or where it isn't there, the PDF library's own font for ideographs.
+    font_file: str | None = None
+    #: What becomes of a document with a page that can't be translated: ``keep`` its text, ``raise``, or translate it by ``segment``.
+    on_page_failure: str = "keep"
     #: Noise segments reach the model in segment mode.
     send_noise: bool = True
     #: Equal requests are sent once.
@@ -46,6 +48,8 @@ class Options:
     def __post_init__(self):
         if self.engine not in ("google", "llm"):
             raise ValueError(f"unknown engine {self.engine!r}")
+        if self.on_page_failure not in ("keep", "raise", "segment"):
+            raise ValueError(f"unknown choice {self.on_page_failure!r} for pages that fail")
 
     @property
     def workers(self) -> int:
@@ -126,8 +130,8 @@ def elapsed_text(seconds: float) -> str:
     return f"{seconds:.1f}s" if seconds < 60 else f"{minutes}m{seconds - 60 * minutes:04.1f}s"
 
 
-#: Order of the parts of a request's label.
-LABEL_ORDER = ("mode", "page", "segment", "chunk", "attempt", "level", "items", "chars")
+#: Fixed value: order of the parts of a request's label.
+LABEL_ORDER = ("mode", "strategy", "kind", "items", "chars", "markers", "page", "block_idx")
 
 
 def request_label(meta: dict | None) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import render_text, strip
+from folioflow.functions.text import let, render_text, strip
 from folioflow.thresholds import DEFAULTS, Thresholds
 
 
@@ -20,12 +20,13 @@ def overlaps(y0: Column, y1: Column, other_y0: Column, other_y1: Column, ratio:
 
 
 def is_decorative(text: Column, kind: Column, width: Column, height: Column, page_width: Column, page_height: Column, t: Thresholds = DEFAULTS) -> Column:
-    """Few characters in a box that covers much of the page."""
-    n = F.length(strip(render_text(text, F.coalesce(kind, F.lit("")))))
+    """Few characters in a box that covers much of the page. Hardly a box does, so only then the text is cleaned to count them."""
     area = F.greatest(F.lit(1.0), real(page_width) * real(page_height))
-    wide = (n <= t.decorative_chars) & (real(width) * real(height) >= area * t.decorative_area)
-    tall = (n <= t.decorative_tall_chars) & (real(height) >= real(page_height) * t.decorative_height)
-    return wide | tall
+    wide = real(width) * real(height) >= area * t.decorative_area
+    tall = real(height) >= real(page_height) * t.decorative_height
+    n = F.length(strip(render_text(text, F.coalesce(kind, F.lit("")))))
+    few = let(n, lambda n: ((n <= t.decorative_chars) & wide) | ((n <= t.decorative_tall_chars) & tall))
+    return F.when(wide | tall, few).otherwise(F.lit(False))
 
 
 def body_size_limit(page_height: Column, t: Thresholds = DEFAULTS) -> Column:
@@ -36,10 +37,10 @@ def is_body(kind: Column, text: Column, line_count: Column, width: Column, size:
             t: Thresholds = DEFAULTS) -> Column:
     """Paragraphs whose size is evened out over their column."""
     lines = F.greatest(F.lit(1), F.coalesce(line_count.cast("int"), F.lit(1)))
-    return ((F.coalesce(kind, F.lit("")) == "paragraph") & (lines >= t.body_lines)
-            & (F.length(render_text(text, F.lit("paragraph"))) >= t.body_chars)
-            & (F.greatest(F.lit(0.0), real(width)) >= F.greatest(F.lit(1.0), real(page_width)) * t.body_width)
-            & (F.greatest(F.lit(t.least_size), F.coalesce(real(size), F.lit(t.least_size))) <= body_size_limit(page_height, t)))
+    box = ((F.coalesce(kind, F.lit("")) == "paragraph") & (lines >= t.body_lines)
+           & (F.greatest(F.lit(0.0), real(width)) >= F.greatest(F.lit(1.0), real(page_width)) * t.body_width)
+           & (F.greatest(F.lit(t.least_size), F.coalesce(real(size), F.lit(t.least_size))) <= body_size_limit(page_height, t)))
+    return F.when(box, F.length(render_text(text, F.lit("paragraph"))) >= t.body_chars).otherwise(box)
 
 
 def widened_right(x0: Column, x1: Column, page_x0: Column, page_x1: Column, neighbor_x0: Column, t: Thresholds = DEFAULTS) -> Column:

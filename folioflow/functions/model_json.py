@@ -62,45 +62,59 @@ def native_items(text: Column) -> Column:
 
 
 def content_text(content) -> str:
-    """Message content as a string: itself, or of each part the first non-empty of text, content and value."""
+    """Message content as a string: itself, or of it or of each object in its list the first non-empty string of text, content and value."""
     if isinstance(content, str):
         return content
-    if isinstance(content, list):
-        return "".join(map(content_text, content))
-    if isinstance(content, dict):
-        return next((v for k in ("text", "content", "value") if isinstance(v := content.get(k), str) and v), "")
-    return ""
+    objects = [x for x in (content if isinstance(content, list) else [content]) if isinstance(x, dict)]
+    said = ([v for k in ("text", "content", "value") if isinstance(v := x.get(k), str) and v] for x in objects)
+    return "".join(v[0] for v in said if v)
 
 
-#: Where a choice keeps its text, in order.
-CHOICE_FIELDS = (("message", "content"), ("message", "output_text"), ("message", "text"), ("message", "reasoning_content"),
-                 (None, "text"), (None, "output_text"), (None, "reasoning_content"))
+def _says(holder: dict, name: str) -> str:
+    value = holder.get(name)
+    return value if isinstance(value, str) and value.strip() else ""
 
 
-def choice_text(choice) -> tuple[str, str | None]:
-    """The text of a choice and the name of the field that held it."""
-    for outer, name in CHOICE_FIELDS:
-        holder = choice.get(outer) if outer and isinstance(choice, dict) else choice
-        if isinstance(holder, dict) and (found := content_text(holder.get(name))).strip():
-            return found, f"{outer}.{name}" if outer else name
-    return "", None
+def choice_text(choice) -> tuple[str, str]:
+    """The text of a choice and the name of the field that held it; only a message's content may be a list or an object."""
+    if not isinstance(choice, dict):
+        return "", "none"
+    if isinstance(message := choice.get("message"), dict):
+        if (found := content_text(message.get("content"))).strip():
+            return found, "message.content"
+        for name in ("output_text", "text", "reasoning_content"):
+            if found := _says(message, name):
+                return found, f"message.{name}"
+    for name in ("text", "output_text", "reasoning_content"):
+        if found := _says(choice, name):
+            return found, f"choice.{name}"
+    return "", "none"
 
 
-def error_detail(body: str) -> str:
+def error_detail(body: str | None) -> str:
     """What a server says about an error, in one short line."""
+    body = (body or "").strip()
     parsed = _parsed(body)
     if isinstance(parsed, dict):
-        error = parsed.get("error")
-        if isinstance(error, dict):
-            parts = [str(error[k]) for k in ("message", "code", "type") if error.get(k)]
-            if parts:
-                return " | ".join(parts)
+        if isinstance(error := parsed.get("error"), dict):
+            parts = [str(error.get(k) or "").strip() for k in ("message", "code", "type")]
+            if any(parts):
+                return " | ".join(filter(None, parts))
         for name in ("message", "detail", "error"):
-            if isinstance(parsed.get(name), str) and parsed[name]:
-                return parsed[name]
+            if found := _says(parsed, name):
+                return found.strip()
     return " ".join(body.split())[:300]
 
 
+def whole_number(value) -> int | None:
+    """A count that a server reports, as a whole number of 64 bits; null if it is none."""
+    try:
+        number = int(value)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return number if abs(number) < 1 << 63 else None
+
+
 #: Fixed value: the form that a model is asked to answer in.
 ANSWER_FORM = {
     "type": "json_schema",

@@ -1,14 +1,21 @@
 """Translation of pages and of segments by a translator that runs on the executors.
 
 Requests are built, and answers dealt back, as columns. Python runs only what talks to the translator: one call with its
-retries for a segment or a block, and for a page the ladder of halving after failures. As many partitions stand
-before the translator as calls may run at once. Each stage of calls is materialised once.
+retries for a segment or a block, and for a page the ladder of halving after failures. Requests are dealt to many small
+tasks, so that a lost executor repeats few calls; how many calls run at once on a machine is limited by slots, which are locks on files there
+that end with their process. Each stage of calls is materialised once.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
+import random
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +32,37 @@ from folioflow.thresholds import DEFAULTS, Thresholds
 
 PAUSE = 0.5
 MAX_LEVEL = 2
+#: Requests of a task, unless that takes more than so many tasks; answers that go to Spark at once; seconds between looks for a free slot.
+TASK_REQUESTS, MOST_TASKS, ANSWERS, LOOK = 64, 20_000, 16, 0.02
+
+
+@contextlib.contextmanager
+def slot(run: str, limit: int):
+    """One of ``limit`` places for a call on this machine; waits for one."""
+    import fcntl
+
+    folder = os.path.join(tempfile.gettempdir(), f"folioflow-slots-{run}")
+    os.makedirs(folder, exist_ok=True)
+    while True:
+        for n in random.sample(range(limit), limit):
+            file = os.open(os.path.join(folder, str(n)), os.O_CREAT | os.O_RDWR)
+            try:
+                fcntl.flock(file, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except OSError:
+                os.close(file)
+                continue
+            try:
+                yield
+            finally:
+                os.close(file)
+            return
+        time.sleep(LOOK)
+
+
+def dealt(requests: DataFrame, workers: int) -> DataFrame:
+    """Requests in tasks of ``TASK_REQUESTS``, no fewer tasks than calls at once. ``requests`` is counted, so it should be materialised."""
+    tasks = -(-requests.count() // TASK_REQUESTS)
+    return requests.repartition(min(max(workers, tasks), MOST_TASKS))
 
 
 # --- one request for several items -------------------------------------------------------------------------------
@@ -133,29 +171,44 @@ CALL = ("ok", "elapsed", "prompt_tokens", "completion_tokens", "total_tokens", "
 
 
 def translate_pages(pages: DataFrame, translator, options: Options, pause: float = PAUSE) -> DataFrame:
-    """``pages`` (``doc_id, page, items``) with the texts of each page, its counts and the calls that the translator logged; a page never fails the job."""
-    o = options
+    """``pages`` (``doc_id, page, items``) with the texts of each page, its counts and the calls that the translator logged; a page never fails the job.
+
+    Pages that are too large (``over``, if ``pages`` has it) aren't sent.
+    """
+    o, name = options, uuid.uuid4().hex
+    columns = ["doc_id", "page", "translated", "status", "response_chars", "retry_attempts", "retry_count", "source_fallback_blocks",
+               "source_fallback_ids", "max_split_level", "api_calls", "requests", "completions", "calls"]
+
+    def one(doc, page, items):
+        items = [{"id": i["id"], "t": i["t"]} for i in items]
+        logged = getattr(translator, "log", None)
+        before = len(logged) if logged is not None else 0
+
+        def complete(prompt, **options):
+            with slot(name, o.workers):
+                return translator.complete(prompt, **options)
+
+        try:
+            texts, c = page_ladder(items, lambda x: ask_items(x, complete, o.llm.temperature, pause), o.llm.page_retries, 0, o.keep_partial)
+            status = "ok_with_warnings" if c["source_fallback_blocks"] else "ok"
+        except Exception as e:  # noqa: BLE001
+            texts, c, status = {}, {}, f"page_batch_failed: {e}"
+        calls = [{k: x.get(k) for k in CALL} for x in logged[before:]] if logged is not None else []
+        if logged is not None:
+            del logged[before:]  # what is told to Spark needn't be kept
+        return (doc, page, [{"id": k, "t": v} for k, v in texts.items()], status, c.get("response_chars", 0), c.get("retry_count", 0) + 1,
+                c.get("retry_count", 0), c.get("source_fallback_blocks", 0), c.get("source_fallback_ids", []), c.get("max_split_level", 0),
+                c.get("api_calls", 0), c.get("requests", 0), c.get("completions", 0), calls)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for doc, page, items in zip(part["doc_id"], part["page"], part["items"]):
-                items = [{"id": i["id"], "t": i["t"]} for i in items]
-                logged = getattr(translator, "log", [])
-                before = len(logged)
-                try:
-                    texts, c = page_ladder(items, lambda x: ask_items(x, translator.complete, o.llm.temperature, pause), o.llm.page_retries, 0, o.keep_partial)
-                    status = "ok_with_warnings" if c["source_fallback_blocks"] else "ok"
-                except Exception as e:  # noqa: BLE001
-                    texts, c, status = {}, {}, f"page_batch_failed: {e}"
-                rows.append((doc, page, [{"id": k, "t": v} for k, v in texts.items()], status, c.get("response_chars", 0), c.get("retry_count", 0) + 1,
-                             c.get("retry_count", 0), c.get("source_fallback_blocks", 0), c.get("source_fallback_ids", []), c.get("max_split_level", 0),
-                             c.get("api_calls", 0), c.get("requests", 0), c.get("completions", 0), [{k: x.get(k) for k in CALL} for x in logged[before:]]))
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "translated", "status", "response_chars", "retry_attempts", "retry_count", "source_fallback_blocks",
-                                              "source_fallback_ids", "max_split_level", "api_calls", "requests", "completions", "calls"])
+            asked = list(zip(part["doc_id"], part["page"], part["items"]))
+            for a in range(0, len(asked), ANSWERS):
+                yield pd.DataFrame([one(*x) for x in asked[a : a + ANSWERS]], columns=columns)
 
     schema = PAGE_RESULT.format(doc=pages.schema["doc_id"].dataType.simpleString())
-    return settled(pages.select("doc_id", "page", "items").repartition(o.workers).mapInPandas(run, schema))
+    todo = pages.where("NOT over") if "over" in pages.columns else pages
+    return settled(dealt(todo.select("doc_id", "page", "items"), o.workers).mapInPandas(run, schema))
 
 
 def call_log(results: DataFrame) -> DataFrame:
@@ -172,23 +225,55 @@ def page_summaries(sizes: DataFrame, results: DataFrame, max_output_tokens: int)
         "response_chars", "retry_attempts", "retry_count", "source_fallback_blocks", "max_split_level", "api_calls", "status")
 
 
-def by_pages(blocks: DataFrame, translator, options: Options, t: Thresholds = DEFAULTS, pause: float = PAUSE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Translated blocks, page summaries and the call log. Too large a page, and nothing to translate, are errors before any call."""
-    sizes = requests.requests(requests.page_items(blocks, t), t)
+class Pages(NamedTuple):
+    """Blocks, page summaries, a status for each document, and the call log."""
+
+    blocks: DataFrame
+    summaries: DataFrame
+    outcomes: DataFrame
+    calls: DataFrame
+
+
+def outcomes(sizes: DataFrame, results: DataFrame, limit: int) -> DataFrame:
+    """``doc_id``, ``status`` (ok, ok_with_warnings, page_too_large, page_batch_failed), and of its first failed page ``page`` and ``input_chars``.
+
+    A document with a page that is too large or failed has failed as a whole.
+    """
+    known = sizes.select("doc_id", "page", "input_chars", "over").join(results.select("doc_id", "page", "status"), ["doc_id", "page"], "left")
+    state = F.when(F.col("over"), 0).when(F.col("status").isNull() | F.col("status").startswith("page_batch_failed"), 1).when(F.col("status") == "ok", 3).otherwise(2)
+    worst = known.groupBy("doc_id").agg(F.min(F.struct(state.alias("state"), "page", "input_chars")).alias("w"))
+    names = F.array(*map(F.lit, ("page_too_large", "page_batch_failed", "ok_with_warnings", "ok")))
+    failed = F.col("w.state") < 2
+    return worst.select("doc_id", F.element_at(names, F.col("w.state") + 1).alias("status"), F.when(failed, F.col("w.page")).alias("page"),
+                        F.when(failed, F.col("w.input_chars")).alias("input_chars"), F.lit(limit).cast("long").alias("max_input_chars"))
+
+
+FAILED = ("page_too_large", "page_batch_failed")
+
+
+def by_pages(blocks: DataFrame, translator, options: Options, t: Thresholds = DEFAULTS, pause: float = PAUSE) -> Pages:
+    """Blocks translated page by page, and what became of each document.
+
+    No page of a document with a page over the limit is sent; a document with such a page, or one that could not be translated, keeps its text, and its
+    status says so; the others go on. It is an error if there is nothing to translate, and if every document fails.
+    """
     limit = max(t.least_input_chars, options.llm.page_max_chars)
-    first = sizes.agg(F.count("*").alias("n"), F.min(F.when(F.col("input_chars") > limit, F.struct("doc_id", "page", "input_chars"))).alias("over")).first()
-    if not first["n"]:
+    sized = requests.requests(requests.page_items(blocks, t), t).drop("payload").withColumn("over", F.col("input_chars") > limit)
+    sizes = settled(sized)
+    large = sizes.where("over").select("doc_id").distinct()
+    results = translate_pages(sizes.join(large, "doc_id", "left_anti"), translator, options, pause)
+    found = settled(outcomes(sizes, results, limit))
+    total = found.agg(F.count("*").alias("n"), F.count_if(F.col("status").isin(*FAILED)).alias("failed"),
+                      F.min(F.when(F.col("status").isin(*FAILED), F.struct("doc_id", "status", "page", "input_chars"))).alias("first")).first()
+    if not total["n"]:
         raise RuntimeError(failure_text("no_items"))
-    if first["over"]:
-        raise RuntimeError(failure_text("page_too_large", first["over"]["page"], first["over"]["input_chars"], limit))
-    results = translate_pages(sizes, translator, options, pause)
-    failed = results.where(F.col("status").startswith("page_batch_failed")).agg(F.min("page")).first()[0]
-    if failed is not None:
-        raise RuntimeError(failure_text("page_batch_failed", failed))
-    texts = results.select("doc_id", "page", F.explode("translated").alias("x")).select(
+    if total["failed"] and (options.on_page_failure == "raise" or options.on_page_failure == "keep" and total["failed"] == total["n"]):
+        raise RuntimeError(failure_text(total["first"]["status"], total["first"]["page"], total["first"]["input_chars"], limit))
+    good = results.join(found.where(~F.col("status").isin(*FAILED)).select("doc_id"), "doc_id", "left_semi")
+    texts = good.select("doc_id", "page", F.explode("translated").alias("x")).select(
         "doc_id", "page", F.regexp_extract("x.id", r"_b(-?\d+)\z", 1).cast("int").alias("block_idx"), F.col("x.t").alias("translated"))
     merged = merge.merge_results(blocks, texts, block_kind(F.col("text"), F.col("size") if "size" in blocks.columns else F.lit(None).cast("double"), t))
-    return merged, page_summaries(sizes, results, options.llm.max_tokens), call_log(results)
+    return Pages(merged, page_summaries(sizes, results, options.llm.max_tokens), found, call_log(results))
 
 
 # --- segments and single blocks ----------------------------------------------------------------------------------
@@ -196,7 +281,11 @@ def by_pages(blocks: DataFrame, translator, options: Options, t: Thresholds = DE
 
 def send(rows: DataFrame, request: str, answer: str, translator, options: Options, keep_markers: Column | None = None, pause: float = PAUSE) -> DataFrame:
     """``rows`` with the translator's answer to each request (null: none came); equal requests are sent once if asked."""
-    head = requests.TRANSLATE_HEAD
+    head, name = requests.TRANSLATE_HEAD, uuid.uuid4().hex
+
+    def limited(call, text):
+        with slot(name, options.workers):
+            return call(text)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -207,9 +296,11 @@ def send(rows: DataFrame, request: str, answer: str, translator, options: Option
                     out.append(text)
                 elif options.engine == "llm":
                     prompt = head + (requests.MARKER_RULE if markers else "") + "\n" + text
-                    out.append(tries(lambda p=prompt: translator.complete(p), pause=pause)[0])
+                    out.append(tries(lambda p=prompt: limited(translator.complete, p), pause=pause)[0])
                 else:
-                    out.append(tries(lambda x=text: translator.translate(x), pause=pause)[0])
+                    out.append(tries(lambda x=text: limited(translator.translate, x), pause=pause)[0])
+                if getattr(translator, "log", None):
+                    translator.log.clear()
             yield pd.DataFrame({"_key": part["_key"], answer: pd.Series(out, dtype=object)})
 
     marked = rows.withColumns({"_markers": keep_markers if keep_markers is not None else F.lit(False), "_request": F.col(request)})
@@ -218,8 +309,8 @@ def send(rows: DataFrame, request: str, answer: str, translator, options: Option
     if not options.deduplicate:
         marked = settled(marked)  # the keys are random
     todo = marked.where(F.col("_request").isNotNull()).select("_key", "_request", "_markers")
-    todo = todo.dropDuplicates(["_key"]) if options.deduplicate else todo
-    answers = settled(todo.repartition(options.workers).mapInPandas(run, f"_key string, `{answer}` string"))
+    todo = settled(todo.dropDuplicates(["_key"])) if options.deduplicate else todo
+    answers = settled(dealt(todo, options.workers).mapInPandas(run, f"_key string, `{answer}` string"))
     return marked.join(answers, "_key", "left").drop("_key", "_request", "_markers")
 
 

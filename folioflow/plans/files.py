@@ -6,11 +6,13 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 import sys
 import time
 from dataclasses import dataclass, fields
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +42,29 @@ class Summary:
 def working_files(source: str) -> list[Path]:
     """Where extracted blocks, translated blocks and records go while a file is worked on."""
     path = Path(source)
-    return [path.with_name(f"{path.stem}.{kind}.json") for kind in ("extracted", "translated", "records")]
+    return [path.with_name(f"{path.stem}_{kind}.json") for kind in ("extracted_text", "translated_text", "segment_debug")]
+
+
+def debug_record(options: Options, result: pipeline.Result | None = None, failure: str | None = None) -> dict:
+    """What is kept of a run on one document, in four shapes: statistics only, pages translated, pages failed, segments."""
+    pages = options.engine == "llm" and options.llm.translate_mode == "page"
+    rows = [r.asDict(recursive=True) for r in result.records.toLocalIterator()] if result is not None else []
+    out = {"segment_debug": [] if pages or options.llm.page_stats_only else rows, "engine": options.engine, "workers": 1 if pages else options.workers,
+           "llm_translate_mode": options.llm.translate_mode, "llm_target_pages": config.parse_pages(options.llm.target_pages)}
+    if result is not None and result.blocks is None:
+        return out | {"llm_page_stats_only": True, "llm_page_stats": rows}
+    if options.engine == "llm" and failure is None:
+        kept = ("model", "base_url", "temperature", "max_tokens")
+        out["llm"] = {k: getattr(options.llm, k) for k in kept} | {"max_workers": out["workers"]}
+    if pages:
+        done = result.outcomes.first().asDict() if result is not None and result.outcomes is not None else {}
+        out["llm_page"] = done | {"page_summaries": rows}
+    if failure is not None:
+        out["failure"] = {"stage": "page_mode", "message": failure}
+    return out
 
 
-def translate_file(spark: SparkSession, source: str, translator, options: Options, output: str | None = None, parse=pdf.parse_pdf, write=pdf.write_pdf,
+def translate_file(spark: SparkSession, source: str, translator, options: Options, output: str | None = None, parse=pdf.parse_pdf, write=None,
                    page_sizes=None) -> Summary:
     """Extract, translate, plan and write one file; the working files stay only if the options keep them.
 
@@ -51,6 +72,7 @@ def translate_file(spark: SparkSession, source: str, translator, options: Option
     """
     if not Path(source).is_file():
         raise FileNotFoundError(source)
+    write = write or partial(pdf.write_pdf, font_file=options.font_file)
     content, seconds, began = Path(source).read_bytes(), {}, time.monotonic()
     output = output or config.output_path(source, options.engine)
     extracted, translated, records = working_files(source)
@@ -63,12 +85,16 @@ def translate_file(spark: SparkSession, source: str, translator, options: Option
     json_blocks.export_array(blocks, str(extracted))
     count = json_blocks.count_items(str(extracted)) or 0
     lap("extract")
-    result = pipeline.translate_documents(blocks, translator, options)
+    note = lambda *known: records.write_text(json.dumps(debug_record(options, *known), ensure_ascii=False, indent=2), encoding="utf-8") if options.keep_debug else None
+    try:
+        result = pipeline.translate_documents(blocks, translator, options)
+    except RuntimeError as e:
+        note(None, str(e))
+        raise
+    note(result)
     if result.blocks is None:
         return Summary(None, count, 0, seconds, result.records)
     json_blocks.export_array(result.blocks, str(translated))
-    if options.keep_debug:
-        records.write_text("[" + ",\n".join(result.records.toJSON().collect()) + "]", encoding="utf-8")
     lap("translate")
     sizes = (page_sizes or sizes_of)(content)
     doc = blocks.select("doc_id").first()
@@ -99,6 +125,7 @@ def parser(environ=os.environ) -> argparse.ArgumentParser:
     out.add_argument("--engine", choices=("google", "llm"), default=environ.get("FOLIOFLOW_ENGINE", "google"))
     out.add_argument("--env-file")
     out.add_argument("--debug", action=argparse.BooleanOptionalAction, default=config.switch("FOLIOFLOW_DEBUG", environ=environ))
+    out.add_argument("--font-file", default=environ.get("FOLIOFLOW_FONT_FILE"))
     out.add_argument("--google-max-workers", type=int, default=int(environ.get("FOLIOFLOW_GOOGLE_MAX_WORKERS", 8)))
     out.add_argument("--google-timeout", type=float, default=float(environ.get("FOLIOFLOW_GOOGLE_TIMEOUT", 30)))
     for f in fields(LlmOptions):
@@ -115,7 +142,7 @@ def parser(environ=os.environ) -> argparse.ArgumentParser:
 def options_of(args: argparse.Namespace) -> Options:
     """Options of the arguments; a timeout of 0 means none."""
     llm = LlmOptions(**{f.name: getattr(args, f"llm_{f.name}") for f in fields(LlmOptions)} | {"timeout": args.llm_timeout or None})
-    return Options(engine=args.engine, google_max_workers=args.google_max_workers, google_timeout=args.google_timeout, keep_debug=args.debug, llm=llm)
+    return Options(engine=args.engine, google_max_workers=args.google_max_workers, google_timeout=args.google_timeout, keep_debug=args.debug, font_file=args.font_file, llm=llm)
 
 
 def main(argv: list[str]) -> int:
@@ -127,7 +154,9 @@ def main(argv: list[str]) -> int:
     translator = LlmClient(options.llm) if options.engine == "llm" else GoogleClient(options.google_timeout)
     summary = translate_file(SparkSession.builder.getOrCreate(), args.source, translator, options, args.output)
     if summary.stats is not None:
-        summary.stats.orderBy("page").show(1000, truncate=False)
+        log.info("first page: %s", (first := summary.stats.orderBy("page").first()) and first.asDict())
+        for row in summary.stats.orderBy("page").toLocalIterator():
+            print(json.dumps(row.asDict(), ensure_ascii=False))
     return 0
 
 

@@ -27,31 +27,37 @@ class Result:
     translated: int = 0
     seconds: float = 0.0
     calls: DataFrame | None = None
+    #: In page mode, what became of each document.
+    outcomes: DataFrame | None = None
+
+
+def _merged(blocks: DataFrame, translated: DataFrame) -> DataFrame:
+    return merge.merge_results(blocks, translated.select(*merge.KEYS, F.col("text").alias("translated"), "segment_kind"))
 
 
 def translate_documents(blocks: DataFrame, translator, options: Options, t: Thresholds = DEFAULTS, pause: float = translate.PAUSE) -> Result:
     """Blocks of any number of documents, by pages or by segments as the options say."""
-    began, calls = time.monotonic(), None
+    began, calls, outcomes = time.monotonic(), None, None
     blocks = ready(requests.select_pages(blocks, parse_pages(options.llm.target_pages)))
     if options.engine == "llm" and options.llm.page_stats_only:
         limit = max(t.least_input_chars, options.llm.page_max_chars)
         return Result(None, requests.page_stats(blocks, limit, options.llm.max_tokens, t))
     if options.engine == "llm" and options.llm.translate_mode == "page":
-        try:
-            out, records, calls = translate.by_pages(blocks, translator, options, t, pause)
-        except RuntimeError:
-            if options.on_page_failure != "segment":
-                raise
-            out, records = translate.by_segments(blocks, translator, options, t, pause=pause)
+        out, records, outcomes, calls = translate.by_pages(blocks, translator, options, t, pause)
+        if options.on_page_failure == "segment":
+            failed = outcomes.where(F.col("status").isin(*translate.FAILED)).select("doc_id")
+            if not failed.isEmpty():
+                again, _ = translate.by_segments(blocks.join(failed, "doc_id", "left_semi"), translator, options, t, pause=pause)
+                kept = out.join(failed, "doc_id", "left_anti")
+                out = kept.unionByName(_merged(blocks.join(failed, "doc_id", "left_semi"), again))
     else:
         out, records = translate.by_segments(blocks, translator, options, t, pause=pause)
-        kept = out.select(*merge.KEYS, F.col("text").alias("translated"), "segment_kind")
-        out = merge.merge_results(blocks, kept)
+        out = _merged(blocks, out)
     out = settled(out)
     count = merge.translated_count(out).first()["translated"]
     seconds = time.monotonic() - began
     log.info("translated %d blocks in %s", count, elapsed_text(seconds))
-    return Result(out, records, count, seconds, calls)
+    return Result(out, records, count, seconds, calls, outcomes)
 
 
 def run(blocks: DataFrame, pages: DataFrame, translator, options: Options, t: Thresholds = DEFAULTS, pause: float = translate.PAUSE):

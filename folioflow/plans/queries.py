@@ -22,8 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in no fewer partitions than there are cores: a small table in one file is dealt to all; a larger one is read as it lies, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
     cell = F.col("pos") % 12
     y0 = 60 + 100 * (cell % 6) + F.when((F.col("doc_id") + F.col("pos")) % 7 == 0, 30).otherwise(0)
     rows = lines.withColumns({"page": F.expr("CAST(pos div 12 AS INT)"), "block_idx": cell.cast("int"), "x0": (40 + 280 * F.expr("pos % 12 div 6")).cast("double"),
@@ -195,9 +202,7 @@ def q23_padded_box(spark, sf_dir):
 
 def q24_column_size(spark, sf_dir):
     """The size that body paragraphs of a column share."""
-    rows = placed(spark, sf_dir)
-    grouped = rows.join(layout.column_groups(rows), [*layout.PAGE, "block_idx"])
-    return layout.column_sizes(grouped, [*layout.PAGE, "col_group"]).select("doc_id", "ordinal", "col_group", F.round("target_size", 6).alias("target_size"))
+    return layout.body_columns(placed(spark, sf_dir)).select("doc_id", "ordinal", "col_group", F.round("target_size", 6).alias("target_size"))
 
 
 def q25_paragraph_groups(spark, sf_dir):

@@ -14,8 +14,11 @@ cloudpickle.register_pickle_by_value(folioflow)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder of the session (a temporary one only where none is named)."""
+    """``df`` written once to the checkpoint folder of the session (a temporary one only in a local session that names none)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folioflow-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="folioflow-"))
     return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -44,19 +45,27 @@ def read_raw(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[d
     return files.mapInPandas(run, RAW)
 
 
-def write_pdf(source: bytes, plan: list[dict]) -> bytes:
+def font_of(file: str | None) -> dict:
+    """How the PDF library is told the font: a file that is there, or its own font for ideographs."""
+    return {"fontname": "given", "fontfile": file} if file and Path(file).is_file() else {"fontname": "cjk"}
+
+
+def write_pdf(source: bytes, plan: list[dict], font_file: str | None = None) -> bytes:
     """The source with the text of the planned boxes replaced."""
     import fitz
 
+    by_page, font = defaultdict(list), font_of(font_file)
+    for r in plan:
+        by_page[r["page"]].append(r)
     with fitz.open(stream=source, filetype="pdf") as pdf:
         for number, page in enumerate(pdf):
-            rows = [r for r in plan if r["page"] == number]
+            rows = by_page[number]
             for r in rows:
                 page.add_redact_annot(fitz.Rect(r["bbox"]), fill=False)
             page.apply_redactions(images=0, graphics=0)
             for r in rows:
                 box = fitz.Rect(r["set_x0"], r["set_y0"], r["set_x1"], r["set_y1"])
-                page.insert_textbox(box, r["set_text"], fontname="cjk", fontsize=r["font_size"], color=tuple(r["color"] or (0, 0, 0)), align=r["align"])
+                page.insert_textbox(box, r["set_text"], **font, fontsize=r["font_size"], color=tuple(r["color"] or (0, 0, 0)), align=r["align"])
         return pdf.tobytes(garbage=3, deflate=True)
 
 

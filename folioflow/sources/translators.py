@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from folioflow.functions.config import LlmOptions
-from folioflow.functions.model_json import ANSWER_FORM, choice_text, error_detail
+from folioflow.functions.model_json import ANSWER_FORM, choice_text, error_detail, whole_number
 
 
 class TranslatorError(RuntimeError):
@@ -113,7 +113,7 @@ class LlmClient:
         text, _ = choice_text(choices[0]) if choices else ("", None)
         usage = answer.get("usage") if isinstance(answer.get("usage"), dict) else {}
         self.log.append({"ok": True, "elapsed": time.monotonic() - began, "prompt_chars": len(prompt), "completion_chars": len(text),
-                         **{k: usage.get(k) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}, **meta})
+                         **{k: whole_number(usage.get(k)) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}, **meta})
         return text
 
 

@@ -185,7 +185,7 @@ def test_config(tmp_path):
     assert config.switch("Z", "C", False, env) and not config.switch("Z", "Y", False, env) and not config.switch("N", environ={"N": " Off "}, default=True)
     assert config.output_path("/a/b.pdf", "google") == "/a/b_G.pdf" and config.output_path("b.pdf", "llm") == "b_LLM.pdf"
     assert [config.elapsed_text(x) for x in (12.34, 123.2, -1)] == ["12.3s", "2m03.2s", "0.0s"]
-    assert config.request_label({"chars": 5, "page": 0, "zz": 1, "level": None}) == "req page=0 chars=5 zz=1"
+    assert config.request_label({"chars": 5, "page": 0, "zz": 1, "level": None}) == "req chars=5 page=0 zz=1"
 
 
 def test_empty_tables(spark):
