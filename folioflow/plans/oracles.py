@@ -89,6 +89,74 @@ adj AS (SELECT *, least(600 - greatest(24, x0), x0 + greatest(220 * 1.35, 220 +
 adj2 AS (SELECT *, CASE WHEN kind <> 'paragraph' THEN x1 WHEN CASE WHEN neighbor_x0 IS NULL THEN wide ELSE least(wide, bound) END <= x0 + 20 THEN x1
                         WHEN neighbor_x0 IS NULL THEN wide ELSE least(wide, bound) END AS adjusted_x1 FROM adj)"""
 
+MARK = "(?:[•・●◦▪■□◆◇▶▸▹▻]|\\([1-9]\\p{Nd}?\\)|[1-9]\\p{Nd}?[.)]|[①-⑳])"
+CJK = "一-龥ぁ-ゔァ-ヴー々〆〤"
+
+
+def close_cjk(c: str) -> str:
+    for left, right in ((CJK, CJK), (CJK, CJK), (CJK, "0-9A-Za-z%"), ("0-9A-Za-z%", CJK), ("\\p{Nd}", "%")):
+        c = f"regexp_replace({c}, '([{left}])[{WS}]+([{right}])', '\\1\\2', 'g')"
+    return c
+
+
+def blanks(c: str) -> str:
+    return f"regexp_replace({c}, '[{WS}]{{2,}}', ' ', 'g')"
+
+
+def flowed(c: str) -> str:
+    return blanks(strip(f"regexp_replace({c}, '[{WS}]*\\n+[{WS}]*', ' ', 'g')"))
+
+
+def rendered(table: str, text: str, kind: str) -> str:
+    """CTEs that give the rows of a table ``set_text``; digits of the text stand in list markers only, so that these need no look around them."""
+    lines = f"string_split(regexp_replace({text}, '[\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(10))"
+    quotes = ", ".join(f"'{q}'" for q in ['"', "''", "“", "”", "‘", "’", "「", "」", "『", "』"])
+    item = blanks(f"regexp_replace({strip('x')}, '^({MARK})[{WS}]*', '\\1 ')")
+    spaced = f"regexp_replace({flowed('cl')}, '[{WS}]*({MARK})[{WS}]*', ' \\1 ', 'g')"
+    parts = f"string_split(regexp_replace({spaced}, '[{WS}]+({MARK})', chr(57345) || '\\1', 'g'), chr(57345))"
+    return f"""ln AS (SELECT *, list_filter(list_transform({lines}, lambda x: {strip('x')}), lambda x: x <> '' AND x NOT IN ({quotes})) AS ls FROM {table}),
+cleaned AS (SELECT *, {close_cjk(blanks(f"CASE WHEN len(ls) > 0 THEN array_to_string(ls, chr(10)) ELSE {strip(text)} END"))} AS cl FROM ln),
+listed AS (SELECT *, list_filter({parts}, lambda x: {strip('x')} <> '') AS its, {spaced} AS spaced FROM cleaned),
+kinded AS (SELECT *, CASE {kind} WHEN 'list' THEN CASE WHEN len(its) > 0 THEN array_to_string(list_transform(its, lambda x: {item}), chr(10)) ELSE spaced END
+                     WHEN 'paragraph' THEN {close_cjk(flowed('cl'))} ELSE cl END AS kt FROM listed),
+rendered AS (SELECT *, regexp_replace(kt, '[{WS}]*[“”‘’「」『』]+$', '') AS set_text FROM kinded)"""
+
+
+def split_after(c: str, marks: str) -> str:
+    """Pieces of a text after marks that white space follows, stripped, none empty."""
+    cut = f"string_split(regexp_replace({c}, '([{marks}])[{WS}]+', '\\1' || chr(57345), 'g'), chr(57345))"
+    return f"list_filter(list_transform({cut}, lambda x: {strip('x')}), lambda x: x <> '')"
+
+
+ROOM = "greatest(8.0::DOUBLE, length(flat) * 0.6::DOUBLE + (220.0::DOUBLE / size) * line_count)"
+SEGMENTS = RUNS + f""",
+sg AS (SELECT doc_id, segment_id, min(kind) AS kind, count(*) AS m, string_agg({kept('text')}, chr(10) || chr(10) ORDER BY page, block_idx, ordinal) AS joined,
+              list({ROOM} ORDER BY page, block_idx, ordinal) AS caps FROM s GROUP BY doc_id, segment_id)"""
+
+
+def dealt(answer: str) -> str:
+    """CTEs that deal the sentences of an answer to the blocks of ``sg``: ``texts``, null where there are too few."""
+    return f"""an AS (SELECT *, {strip(answer)} AS an FROM sg),
+ch AS (SELECT *, {split_after('an', '。！？!?')} AS c0 FROM an),
+ch1 AS (SELECT *, CASE WHEN len(c0) > 0 THEN c0 ELSE [an] END AS c1 FROM ch),
+ch2 AS (SELECT *, CASE WHEN len(c1) >= m THEN c1 ELSE flatten(list_transform(c1, lambda c: CASE WHEN len({split_after('c', '、，,')}) >= 2 THEN {split_after('c', '、，,')} ELSE [c] END)) END AS ps,
+               list_reduce(caps, lambda a, c: a + c, 0.0::DOUBLE) AS al FROM ch1),
+de AS (SELECT *, CASE WHEN len(ps) > 0 AND len(ps) >= m THEN list_reduce(caps, lambda a, c: {{'at': a.at + CASE WHEN m - len(a.k) = 1 THEN len(ps) - a.at
+                   ELSE greatest(1, least(len(ps) - a.at - (m - len(a.k)) + 1, floor(greatest(1.0::DOUBLE, len(ps) * (c / al)))::BIGINT)) END,
+                 'k': list_append(a.k, a.at)}}, {{'at': 0::BIGINT, 'k': []::BIGINT[]}}).k END AS ks FROM ch2),
+dl AS (SELECT *, list_transform(ks, lambda k, i: {strip("array_to_string(list_slice(ps, k + 1, CASE WHEN i < len(ks) THEN ks[i + 1] ELSE len(ps) END), ' ')")}) AS t0 FROM de),
+dealt AS (SELECT *, CASE WHEN list_contains(t0, '') THEN NULL ELSE t0 END AS texts FROM dl)"""
+
+
+LADDER = f"WITH {ITEMS}, nh AS (SELECT doc_id, page, n_items AS n, n_items // 2 AS h, n_items - n_items // 2 AS o, input_chars FROM g)"
+
+
+def half(m: str) -> tuple[str, str]:
+    """Chunks and source texts that a half takes where chunks of more than two items fail."""
+    quarters = (f"greatest(1, {m} // 2)", f"({m} - greatest(1, {m} // 2))")
+    return f"CASE WHEN {m} <= 2 THEN 1 ELSE 3 END", f"CASE WHEN {m} <= 2 THEN 0 ELSE " + " + ".join(f"CASE WHEN {q} <= 2 THEN 0 ELSE {q} END" for q in quarters) + " END"
+
+
 BODY = f"kind = 'paragraph' AND line_count >= 2 AND length({norm('text')}) >= 40 AND 220 >= 600 * 0.18 AND greatest(3.0, size) <= greatest(18.0, 800 * 0.03)"
 HEAD = len(PROMPT_HEAD)
 
@@ -134,14 +202,74 @@ ORACLES = {
     "q23_padded_box": f"""WITH {KINDS}, z AS (SELECT *, CASE kind WHEN 'paragraph' THEN greatest(3.0, least(14.0, size * 0.16::DOUBLE)) WHEN 'list' THEN greatest(2.0, least(8.0, size * 0.10::DOUBLE)) END AS pad FROM k)
         SELECT doc_id, ordinal, round(CASE WHEN pad IS NULL OR least(800, y1 + pad) <= greatest(0, y0 - pad) + 4 THEN y0 ELSE greatest(0, y0 - pad) END, 6)::DOUBLE AS top,
                round(CASE WHEN pad IS NULL OR least(800, y1 + pad) <= greatest(0, y0 - pad) + 4 THEN y1 ELSE least(800, y1 + pad) END, 6)::DOUBLE AS bottom FROM z""",
-    "q24_column_size": f"""WITH {KINDS}, z AS (SELECT * FROM k WHERE {BODY}), f AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY x0) - 1 AS col_group FROM z)
-        SELECT doc_id, ordinal, col_group, round(quantile_cont(size, 0.25) OVER (PARTITION BY doc_id, page, col_group), 6) AS target_size FROM f""",
+    "q24_column_size": f"""WITH {KINDS}, z AS (SELECT *, x0 + (doc_id + 13 * ordinal) % 50 AS x, (220 - 25 * (ordinal % 5))::DOUBLE AS w FROM k),
+        f AS (SELECT doc_id, page, list({{'o': ordinal, 'x': x, 'w': w, 's': size}} ORDER BY x, block_idx) AS c FROM z WHERE {BODY.replace('220 >=', 'w >=')} GROUP BY doc_id, page),
+        r AS (SELECT doc_id, page, c, list_reduce(c, lambda a, q: {{'n': CASE WHEN list_contains(list_transform(a.n, lambda e: abs(q.x - e.x) <= 36 AND abs(q.w - e.w) / greatest(q.w, e.w) <= 0.35), true)
+                  THEN a.n ELSE list_append(a.n, {{'x': q.x, 'w': q.w}}) END,
+                'g': list_append(a.g, coalesce(list_position(list_transform(a.n, lambda e: abs(q.x - e.x) <= 36 AND abs(q.w - e.w) / greatest(q.w, e.w) <= 0.35), true), len(a.n) + 1) - 1)}},
+                {{'n': []::STRUCT(x DOUBLE, w DOUBLE)[], 'g': []::BIGINT[]}}).g AS g FROM f),
+        u AS (SELECT doc_id, page, unnest(c) AS c, unnest(g) AS col_group FROM r)
+        SELECT doc_id, c.o AS ordinal, col_group, round(quantile_cont(c.s, 0.25) OVER (PARTITION BY doc_id, page, col_group), 6) AS target_size FROM u""",
+    "q25_paragraph_groups": f"""WITH {BLOCKS}, z AS (SELECT doc_id, page, list({{'x': x0 + 25 * (ordinal % 3), 't': text, 'st': {strip('text')}, 'y1': y1, 'size': size, 'font': font}} ORDER BY block_idx) AS l
+             FROM b WHERE page % 7 <> 3 GROUP BY doc_id, page),
+        f AS (SELECT doc_id, page, l, list_reduce(l, lambda a, x: CASE
+                  WHEN x.st = '' THEN {{'g': a.g, 'open': false, 'least': 0.0::DOUBLE, 'px': 0.0::DOUBLE, 'pt': '', 'out': list_append(a.out, -1::BIGINT)}}
+                  WHEN NOT a.open OR ((x.x - a.px >= 20 OR x.x - a.least >= 20) AND regexp_matches(a.pt, '[.!?:;。！？]$') AND a.pt NOT IN ('•', '-', '*', '・') AND x.st NOT IN ('•', '-', '*', '・'))
+                       THEN {{'g': a.g + 1, 'open': true, 'least': x.x, 'px': x.x, 'pt': x.st, 'out': list_append(a.out, a.g + 1)}}
+                  ELSE {{'g': a.g, 'open': true, 'least': least(a.least, x.x), 'px': x.x, 'pt': x.st, 'out': list_append(a.out, a.g)}} END,
+                {{'g': -1::BIGINT, 'open': false, 'least': 0.0::DOUBLE, 'px': 0.0::DOUBLE, 'pt': '', 'out': []::BIGINT[]}}).out AS gs FROM z),
+        u AS (SELECT doc_id, page, unnest(l) AS x, unnest(gs) AS g, unnest(range(len(l))) AS i FROM f)
+        SELECT doc_id, page, g AS block_idx, string_agg(x.t, chr(10) ORDER BY i) AS text, min(x.x) AS x0, max(x.y1) AS y1, first(x.size ORDER BY i) AS size, first(x.font ORDER BY i) AS font,
+               1.0::DOUBLE AS blue, count(*) AS line_count FROM u WHERE g >= 0 GROUP BY doc_id, page, g""",
+    "q27_chunk_assign": f"""WITH {SEGMENTS}, {dealt(norm("replace(joined, '.', '!')"))}
+        SELECT doc_id, segment_id, m::INT AS n_blocks, coalesce(array_to_string(texts, '|'), '-') AS dealt FROM dealt""",
     "q29_pages_translated": f"WITH {ITEMS} SELECT k.doc_id, k.ordinal, CASE WHEN i.t <> '' THEN 'T:' || i.t ELSE k.text END AS text, k.kind AS segment_kind FROM k LEFT JOIN i USING (doc_id, ordinal)",
     "q33_segment_records": f"""WITH {RUNS} SELECT doc_id, segment_id, min(kind) AS kind, to_json(list([page, block_idx] ORDER BY page, block_idx, ordinal))::VARCHAR AS block_refs,
         substr(string_agg({norm('text')}, ' ' ORDER BY page, block_idx, ordinal), 1, 180) AS source_preview FROM s GROUP BY doc_id, segment_id""",
-    "q26_render_text": f"""WITH {KINDS} SELECT doc_id, ordinal, regexp_replace(regexp_replace(regexp_replace({strip('text')}, '[{WS}]{{2,}}', ' ', 'g'),
-        '(\\p{{Nd}})[{WS}]+%', '\\1%', 'g'), '[{WS}]*[“”‘’「」『』]+$', '') AS set_text FROM k""",
+    "q26_render_text": f"""WITH {BLOCKS}, pl AS (SELECT doc_id, ordinal, regexp_replace(text, '[0-9]', 'x', 'g') AS p FROM b),
+        dr AS (SELECT doc_id, ordinal, ['list', 'paragraph', 'toc'][ordinal % 3 + 1] AS kd, CASE ordinal % 4
+               WHEN 0 THEN '• ' || p || ' (2) two 3. three ③ four' WHEN 1 THEN '日 本 語 ' || p || ' 50 % 日本 A1 漢 字 '
+               WHEN 2 THEN p || chr(10) || '」' || chr(10) || '  next   line' || chr(10) || '“' ELSE p || ' 12) end」” ' END AS tx FROM pl),
+        {rendered('dr', 'tx', 'kd')} SELECT doc_id, ordinal, set_text FROM rendered""",
     "q28_structured_response": f"WITH {ITEMS} SELECT doc_id, page, n_items AS items, split_part(ids, ',', 1) AS first_id FROM g",
+    "q30_render_plan": f"""WITH {PEERS}, body AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY x0) AS cg FROM k WHERE {BODY}),
+        tz AS (SELECT doc_id, page, block_idx, quantile_cont(size, 0.25) OVER (PARTITION BY doc_id, page, cg) AS ct FROM body),
+        sz AS (SELECT a.*, least(a.size, coalesce(tz.ct, a.size)) AS target_size FROM adj2 a LEFT JOIN tz USING (doc_id, page, block_idx)),
+        pd AS (SELECT *, CASE kind WHEN 'paragraph' THEN greatest(3.0::DOUBLE, least(14.0::DOUBLE, target_size * 0.16::DOUBLE)) WHEN 'list' THEN greatest(2.0::DOUBLE, least(8.0::DOUBLE, target_size * 0.10::DOUBLE)) END AS pad FROM sz),
+        bx AS (SELECT *, pad IS NOT NULL AND least(800, y1 + pad) > greatest(0, y0 - pad) + 4 AS grown, adjusted_x1::DOUBLE AS set_x1, text AS tx, kind AS kd FROM pd),
+        bx2 AS (SELECT *, CASE WHEN grown THEN greatest(0, y0 - pad) ELSE y0 END::DOUBLE AS set_y0, CASE WHEN grown THEN least(800, y1 + pad) ELSE y1 END::DOUBLE AS set_y1 FROM bx),
+        {rendered('bx2', 'tx', 'kd')},
+        un AS (SELECT *, set_x1 - x0 AS w, set_y1 - set_y0 AS h, list_transform(string_split(set_text, chr(10)), lambda x: (length(x) + length(regexp_replace(x, '[\\x00-\\x{{2E7F}}]', '', 'g'))) / 2.0::DOUBLE) AS us FROM rendered),
+        sr AS (SELECT *, list_reduce(range(12), lambda a, i: CASE WHEN list_reduce(us, lambda t, u: t + greatest(1.0::DOUBLE, ceil(u * ((a.lo + a.hi) / 2) / w)), 0.0::DOUBLE) * ((a.lo + a.hi) / 2) * 1.2::DOUBLE <= h
+                  THEN {{'lo': (a.lo + a.hi) / 2 + 0.05::DOUBLE, 'hi': a.hi, 'best': (a.lo + a.hi) / 2}} ELSE {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2 - 0.05::DOUBLE, 'best': a.best}} END,
+                {{'lo': 3.0::DOUBLE, 'hi': target_size * 1.05::DOUBLE, 'best': 3.0::DOUBLE}}).best AS font_size FROM un)
+        SELECT doc_id, page, block_idx, x0 AS set_x0, set_y0, set_x1, set_y1, set_text, target_size, font_size,
+               CASE WHEN kind = 'paragraph' AND neighbor_x0 IS NULL AND set_x1 - x0 >= 600 * 0.45 THEN 3 ELSE 0 END::BIGINT AS align FROM sr""",
+    "q31_segments_translated": f"""WITH {SEGMENTS}, {dealt("'<' || replace(joined, '.', '!') || '>'")},
+        pos AS (SELECT *, row_number() OVER (PARTITION BY doc_id, segment_id ORDER BY page, block_idx, ordinal) AS i, {flattened('text')} AS fl FROM s)
+        SELECT doc_id, ordinal, CASE WHEN d.kind = 'paragraph' AND d.m > 1 AND d.texts IS NOT NULL THEN d.texts[i] WHEN NOT noise AND fl <> '' THEN '<' || replace(fl, '.', '!') || '>' ELSE text END AS text,
+               d.kind AS segment_kind FROM pos JOIN dealt d USING (doc_id, segment_id)""",
+    "q34_marked_split": f"""WITH {RUNS}, l AS (SELECT doc_id, segment_id, list({flattened('text')} ORDER BY page, block_idx, ordinal) AS t FROM s GROUP BY doc_id, segment_id),
+        ms AS (SELECT *, CASE segment_id % 3 WHEN 1 THEN NULL WHEN 2 THEN list_concat(['again'], t[2:]) ELSE t END AS r FROM l)
+        SELECT doc_id, segment_id, CASE WHEN r IS NULL OR list_contains(r, '') THEN '-' ELSE array_to_string(r, '|') END AS back FROM ms""",
+    "q35_wrapped_answers": f"""WITH {ITEMS} SELECT doc_id, page, CASE WHEN page % 4 = 3 THEN -1 ELSE n_items END AS items,
+        CASE WHEN page % 4 = 3 THEN '-' ELSE (SELECT string_agg(i.id || ':' || i.t, '|' ORDER BY i.block_idx) FROM i WHERE i.doc_id = g.doc_id AND i.page = g.page AND i.t <> '') END AS texts FROM g""",
+    "q36_answer_repair": f"""WITH {ITEMS}, nr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY block_idx, ordinal) - 1 AS r, count(*) OVER (PARTITION BY doc_id, page) AS c FROM i WHERE t <> '')
+        SELECT doc_id, page, CASE WHEN page % 3 = 0 AND min(c) > 2 THEN '-' ELSE string_agg(id || '=a:' || t, '|' ORDER BY r) END AS placed,
+               coalesce(string_agg(id, ',' ORDER BY r) FILTER (r % 2 = 1 OR length(t) % 5 = 0), '') AS missing FROM nr GROUP BY doc_id, page""",
+    "q37_page_totals": """SELECT count(*) FILTER (user_id % 3 > 0) AS pages_retried, coalesce(sum(event_id % 5), 0)::BIGINT AS fallback_blocks,
+        min(user_id % 100) FILTER (event_type = 'error') AS first_failed_page FROM events""",
+    "q38_rates": """WITH c AS (SELECT event_type <> 'error' AS ok, floor(value * 100)::DOUBLE AS elapsed, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id % 10 AS worker FROM events),
+        m AS (SELECT worker, coalesce(sum(k) FILTER (ok), 0)::BIGINT AS n, coalesce(sum(greatest(0, elapsed)) FILTER (ok), 0)::DOUBLE AS e FROM c GROUP BY worker)
+        SELECT worker, round(CASE WHEN e > 0 THEN n / e ELSE 0.0 END, 6)::DOUBLE AS tokens_per_second, 12.5::DOUBLE AS blocks_per_second FROM m""",
+    "q39_blocks_as_json": f"WITH {BLOCKS} SELECT doc_id, ordinal, page, block_idx, text, size, font, y1 AS bottom, 0.5::DOUBLE AS green, x0, line_count FROM b",
+    "q40_page_ladder": f"""{LADDER}, c AS (SELECT *, CASE WHEN n <= 2 THEN 1 ELSE 1 + {half('h')[0]} + {half('o')[0]} END AS api_calls,
+               CASE WHEN n <= 2 THEN 0 ELSE {half('h')[1]} + {half('o')[1]} END AS source_fallback_blocks FROM nh)
+        SELECT doc_id, page, n AS items, api_calls::BIGINT AS api_calls, 1::BIGINT AS retry_attempts, source_fallback_blocks::BIGINT AS source_fallback_blocks,
+               CASE WHEN n <= 2 THEN 0 WHEN o <= 2 THEN 1 ELSE 2 END::BIGINT AS max_split_level, CASE WHEN source_fallback_blocks > 0 THEN 'ok_with_warnings' ELSE 'ok' END AS status FROM c""",
+    "q41_document_outcomes": f"""{LADDER}, c AS (SELECT *, CASE WHEN n <= 2 THEN 0 ELSE {half('h')[1]} + {half('o')[1]} END AS f FROM nh),
+        d AS (SELECT doc_id, min(page) FILTER (input_chars > 2000) AS page, min_by(input_chars, page) FILTER (input_chars > 2000) AS input_chars, sum(f) AS f FROM c GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN page IS NOT NULL THEN 'page_too_large' WHEN f > 0 THEN 'ok_with_warnings' ELSE 'ok' END AS status, page, input_chars, 2000::BIGINT AS max_input_chars FROM d""",
     "q32_packed_requests": f"""WITH {RUNS}, c AS (SELECT doc_id, segment_id, length({flattened('min(text)')}) AS chars FROM s GROUP BY doc_id, segment_id
              HAVING count(*) = 1 AND min(kind) IN ('toc', 'heading', 'list')),
         q AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY doc_id ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 4500 AS c,

@@ -6,6 +6,9 @@ engines compute the same.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from folioflow.functions import geometry, model_json, text
 from folioflow.functions.classify import block_kind
 from folioflow.functions.config import Options, LlmOptions, parse_pages
 from folioflow.operators import assign, layout, merge, metrics, paragraphs, requests, segments, translate
+from folioflow.plans import pipeline
+from folioflow.sources import blocks as json_blocks
 from folioflow.sources.translators import Mapped
 
 LIMIT = 1000
@@ -123,14 +128,11 @@ def q12_conversation_items(spark, sf_dir):
 
 
 def _shout(spark, sf_dir):
-    rows = line_blocks(spark, sf_dir)
-    asked = F.when(~text.is_noise(F.col("text")), text.for_translation(F.col("text"), False))
-    said = F.when(F.coalesce(asked, F.lit("")) != "", F.concat(F.lit("T:"), asked))
-    return rows.withColumns({"original_text": F.col("text"), "text": F.coalesce(said, F.col("text"))})
+    return translate.translate_blocks(line_blocks(spark, sf_dir), Mapped("T:{}".format), Options(google_max_workers=4), pause=0)
 
 
 def q13_single_block(spark, sf_dir):
-    """Block by block with a translator that marks what it got."""
+    """Block by block with a translator that marks what it got, on the executors."""
     return _shout(spark, sf_dir).select("doc_id", "ordinal", "text", "original_text")
 
 
@@ -201,25 +203,36 @@ def q23_padded_box(spark, sf_dir):
 
 
 def q24_column_size(spark, sf_dir):
-    """The size that body paragraphs of a column share."""
-    return layout.body_columns(placed(spark, sf_dir)).select("doc_id", "ordinal", "col_group", F.round("target_size", 6).alias("target_size"))
+    """The size that body paragraphs of a column share; left edges and widths vary, so that a block's column depends on those before it."""
+    left, width = F.col("x0") + (F.col("doc_id") + 13 * F.col("ordinal")) % 50, (220 - 25 * (F.col("ordinal") % 5)).cast("double")
+    rows = placed(spark, sf_dir).withColumns({"x0": left, "width": width})
+    return layout.body_columns(rows).select("doc_id", "ordinal", "col_group", F.round("target_size", 6).alias("target_size"))
 
 
 def q25_paragraph_groups(spark, sf_dir):
-    """Lines of a page, at indents made from their place, grouped into text blocks."""
+    """Lines of a page, at indents made from their place, grouped into text blocks; some pages are images."""
     rows = line_blocks(spark, sf_dir)
     span = F.struct(F.col("text").alias("text"), F.col("font").alias("font"), F.col("size").alias("size"), F.lit(255).alias("color"))
     left = (F.col("x0") + 25 * (F.col("ordinal") % 3))
     line = F.struct("block_idx", F.struct(F.array(left, F.col("y0"), F.col("x1"), F.col("y1")).alias("bbox"), F.array(span).alias("spans")).alias("line"))
     raw = rows.groupBy("doc_id", "page").agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
-    raw = raw.select("doc_id", "page", F.lit(0).alias("block_no"), F.lit(0).alias("type"), F.array(*map(F.lit, (0.0, 0.0, 600.0, 800.0))).alias("bbox"), "lines")
+    raw = raw.select("doc_id", "page", F.lit(0).alias("block_no"), F.when(F.col("page") % 7 == 3, 1).otherwise(0).alias("type"),
+                     F.array(*map(F.lit, (0.0, 0.0, 600.0, 800.0))).alias("bbox"), "lines")
     out = paragraphs.extract_blocks(raw)
-    return out.select("doc_id", F.col("page").cast("long").alias("page"), F.col("block_idx").cast("long").alias("block_idx"), "text", "x0", "y1", "size", F.col("line_count").cast("long").alias("line_count"))
+    return out.select("doc_id", F.col("page").cast("long").alias("page"), F.col("block_idx").cast("long").alias("block_idx"), "text", "x0", "y1", "size", "font",
+                      F.element_at("color", 3).alias("blue"), F.col("line_count").cast("long").alias("line_count"))
+
+
+#: What is put round a line, its digits replaced, before it is cleaned: list markers, ideographs, lines of quotes, closing marks.
+DRESSED = [("• ", " (2) two 3. three ③ four"), ("日 本 語 ", " 50 % 日本 A1 漢 字 "), ("", "\n」\n  next   line\n“"), ("", " 12) end」” ")]
 
 
 def q26_render_text(spark, sf_dir):
-    """Text as it is set, of every block, by its kind."""
-    return placed(spark, sf_dir).select("doc_id", "ordinal", text.render_text(F.col("text"), F.col("segment_kind")).alias("set_text"))
+    """Text as it is set, as a list, a paragraph and otherwise."""
+    plain, n = F.regexp_replace("text", "[0-9]", "x"), F.col("ordinal") % 4
+    dressed = F.coalesce(*(F.when(n == i, F.concat(F.lit(a), plain, F.lit(b))) for i, (a, b) in enumerate(DRESSED)))
+    kind = F.element_at(F.array(*map(F.lit, ("list", "paragraph", "toc"))), (F.col("ordinal") % 3 + 1).cast("int"))
+    return line_blocks(spark, sf_dir).select("doc_id", "ordinal", text.render_text(dressed, kind).alias("set_text"))
 
 
 def q27_chunk_assign(spark, sf_dir):
@@ -240,21 +253,26 @@ def q28_structured_response(spark, sf_dir):
 def q29_pages_translated(spark, sf_dir):
     """Page mode with a translator that marks what it got, on the executors."""
     options = Options(engine="llm", llm=LlmOptions(max_workers=4))
-    out, *_ = translate.by_pages(line_blocks(spark, sf_dir), Mapped("T:{}".format), options, pause=0)
-    return out.select("doc_id", "ordinal", "text", "segment_kind")
+    out = pipeline.translate_documents(line_blocks(spark, sf_dir), Mapped("T:{}".format), options, pause=0)
+    return out.blocks.select("doc_id", "ordinal", "text", "segment_kind")
 
 
 def q30_render_plan(spark, sf_dir):
     """Box, size and alignment of every block."""
     blocks = kinds(spark, sf_dir).withColumnRenamed("kind", "segment_kind")
-    return layout.render_plan(blocks, page_rects(blocks)).drop("color")
+    plan = layout.render_plan(blocks, page_rects(blocks)).drop("color")
+    return plan.withColumns({c: F.col(c).cast("long") for c in ("page", "block_idx", "align")})
+
+
+def _exclaim(text: str) -> str:
+    return "<" + text.replace(".", "!") + ">"
 
 
 def q31_segments_translated(spark, sf_dir):
-    """Segment mode with a translator that changes the case; equal requests are sent once."""
+    """Segment mode with a translator that ends sentences anew, so that answers are dealt back; equal requests are sent once."""
     options = Options(engine="google", google_max_workers=4, deduplicate=True)
-    out, _ = translate.by_segments(line_blocks(spark, sf_dir), Mapped(str.upper), options, pause=0)
-    return out.select("doc_id", "ordinal", "text", "segment_kind")
+    out = pipeline.translate_documents(line_blocks(spark, sf_dir), Mapped(_exclaim), options, pause=0)
+    return out.blocks.select("doc_id", "ordinal", "text", "segment_kind")
 
 
 def q32_packed_requests(spark, sf_dir):
@@ -266,4 +284,95 @@ def q33_segment_records(spark, sf_dir):
     return segments.debug_records(segments.segments(line_blocks(spark, sf_dir))).select("doc_id", "segment_id", "kind", F.to_json("block_refs").alias("block_refs"), "source_preview")
 
 
+def q34_marked_split(spark, sf_dir):
+    """Marked requests of segments, some with words before them and a repeated marker, some cut off, split again."""
+    runs = segments.segments(line_blocks(spark, sf_dir))
+    sent, n, last = segments.segment_payload(F.col("blocks")), F.col("segment_id") % 3, F.size("blocks") - 1
+    changed = F.when(n == 1, F.regexp_replace(sent, F.concat(F.lit(r"\[\[block "), last.cast("string"), F.lit(r"\]\]")), F.lit("(gone)"))).when(
+        n == 2, F.concat(F.lit("Sure:\n"), sent, F.lit("\n [[block 0]] \nagain\n"))).otherwise(sent)
+    back = assign.split_marked(changed, F.size("blocks"))
+    return runs.select("doc_id", "segment_id", F.coalesce(F.array_join(back, "|"), F.lit("-")).alias("back"))
+
+
+def q35_wrapped_answers(spark, sf_dir):
+    """Answers that are bare, fenced, in a sentence, or cut off, read as a model's."""
+    sized = requests.requests(requests.page_items(line_blocks(spark, sf_dir)))
+    kind = F.col("page") % 4
+    wrapped = F.when(kind == 1, F.concat(F.lit("```json\n"), "payload", F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), "payload", F.lit(" {done}"))).when(
+        kind == 3, F.expr("left(payload, length(payload) - 1)")).otherwise(F.col("payload"))
+
+    def run(parts):
+        for part in parts:
+            found = [model_json.parse_answer(x) for x in part["answer"]]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "page": part["page"], "items": [-1 if x is None else len(x) for x in found],
+                                "texts": ["-" if x is None else "|".join(i["id"] + ":" + i["t"] for i in x) for x in found]})
+
+    return sized.select("doc_id", F.col("page").cast("long").alias("page"), wrapped.alias("answer")).mapInPandas(run, "doc_id long, page long, items long, texts string")
+
+
+def q36_answer_repair(spark, sf_dir):
+    """Answers under other ids, put in their places where there are as many as items; items that got none."""
+    pages = requests.page_items(line_blocks(spark, sf_dir))
+    answers = F.transform("items", lambda i, n: F.struct(F.concat(F.lit("x"), n.cast("string")).alias("id"), F.concat(F.lit("a:"), i["t"]).alias("t")))
+    fewer = F.when(F.col("page") % 3 == 0, F.slice(answers, 1, 2)).otherwise(answers)
+    some = F.transform(F.filter("items", lambda i, n: n % 2 == 0), lambda i: F.struct(i["id"].alias("id"), F.when(F.length(i["t"]) % 5 == 0, " ").otherwise("ok").alias("t")))
+    placed_ = merge.by_position(F.col("items"), fewer)
+    return pages.select("doc_id", F.col("page").cast("long").alias("page"),
+                        F.coalesce(F.array_join(F.transform(placed_, lambda x: F.concat(x["id"], F.lit("="), x["t"])), "|"), F.lit("-")).alias("placed"),
+                        F.array_join(F.transform(merge.missing_items(F.col("items"), some), lambda i: i["id"]), ",").alias("missing"))
+
+
+def _summaries(spark, sf_dir):
+    status = F.when(F.col("event_type") == "error", "page_batch_failed").when(F.col("event_type") == "click", "ok_with_warnings").otherwise("ok")
+    return table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(100)).alias("page"), F.pmod("user_id", F.lit(3)).alias("retry_count"),
+                                                  F.pmod("event_id", F.lit(5)).alias("source_fallback_blocks"), status.alias("status"))
+
+
+def q37_page_totals(spark, sf_dir):
+    return metrics.page_totals(_summaries(spark, sf_dir))
+
+
+def q38_rates(spark, sf_dir):
+    """Tokens and blocks a second of each worker's calls."""
+    rows = metrics.rates(q17_call_metrics(spark, sf_dir), 500, 40.0)
+    return rows.select("worker", F.round("tokens_per_second", 6).alias("tokens_per_second"), "blocks_per_second")
+
+
+def q39_blocks_as_json(spark, sf_dir):
+    """Blocks of each document as an array of JSON, and read back."""
+    rows = line_blocks(spark, sf_dir).withColumns({"bbox": F.array("x0", "y0", "x1", "y1"), "color": F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)),
+                                                    "doc_id": F.col("doc_id").cast("string")})
+    back = json_blocks.blocks_of(json_blocks.arrays_of(rows))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "ordinal", F.col("page").cast("long").alias("page"), F.col("block_idx").cast("long").alias("block_idx"),
+                       "text", "size", "font", F.element_at("bbox", 4).alias("bottom"), F.element_at("color", 2).alias("green"), "x0", F.col("line_count").cast("long").alias("line_count"))
+
+
+def _at_most_two(prompt: str, **_) -> str:
+    items = json.loads(prompt[prompt.find('{"items":'):])["items"]
+    if len(items) > 2:
+        raise TimeoutError
+    return json.dumps({"items": [{"id": i["id"], "t": "T:" + i["t"]} for i in items]})
+
+
+class FewItems(Mapped):
+    """A translator that runs out of time on more than two items."""
+
+    def complete(self, prompt: str, **options) -> str:
+        return _at_most_two(prompt)
+
+
+def q40_page_ladder(spark, sf_dir):
+    """What pages take with a translator that fails on more than two items: halves, quarters, and source texts where even these are too large."""
+    options = Options(engine="llm", llm=LlmOptions(max_workers=4))
+    found = translate.by_pages(line_blocks(spark, sf_dir), FewItems(str), options, pause=0)
+    return found.summaries.select("doc_id", F.col("page").cast("long").alias("page"), "items", "api_calls", "retry_attempts", "source_fallback_blocks", "max_split_level", "status")
+
+
+def q41_document_outcomes(spark, sf_dir):
+    """What becomes of each document where pages have a limit."""
+    options = Options(engine="llm", llm=LlmOptions(max_workers=4, page_max_chars=LIMIT * 2))
+    found = translate.by_pages(line_blocks(spark, sf_dir), FewItems(str), options, pause=0)
+    return found.outcomes.select("doc_id", "status", F.col("page").cast("long").alias("page"), "input_chars", "max_input_chars")
+
+
 QUERIES = {k: f for k, f in sorted(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}

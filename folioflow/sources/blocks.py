@@ -29,8 +29,20 @@ def read_blocks(spark: SparkSession, path: str, translated: bool = False) -> Dat
 
     A file that isn't an array of blocks is an error.
     """
+    return blocks_of(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), "value"), translated)
+
+
+def arrays_of(blocks: DataFrame, order: str = "ordinal") -> DataFrame:
+    """``doc_id`` and ``value``, a document's blocks as one array of JSON; a document must fit in a row."""
+    cells = F.struct(*(f.name for f in TRANSLATED if f.name in blocks.columns))
+    rows = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(order, cells.alias("b")))).alias("rows"))
+    return rows.select("doc_id", F.to_json("rows.b").alias("value"))
+
+
+def blocks_of(arrays: DataFrame, translated: bool = False) -> DataFrame:
+    """The blocks of such arrays; a value that is no array of blocks is an error."""
     schema = T.ArrayType(TRANSLATED if translated else BLOCK)
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("rows"))
+    files = arrays.select("doc_id", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("rows"))
     return files.select("doc_id", F.posexplode("rows").alias("ordinal", "b")).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "b.*")
 
 
