@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import hashlib
 import uuid
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm import bpe, decontaminate, fingerprints, htmltext, langid, licenses, phrases, sharding, simhash, warc
-from folioflow.llm.common import checkpoint_dir, table
+from folioflow.llm.common import checkpoint_dir, drop, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,16 +78,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.edit(docs, phrases.repeats(docs), _removal, fields).drop("text")
 
 
-def _drop(path: str) -> None:
-    with contextlib.suppress(OSError):
-        system, folder = warc.opened(path)
-        system.delete_dir(folder)
-
-
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages hold, after they were written to the shared folder and read again."""
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    atexit.register(_drop, path)
+    atexit.register(drop, spark, path)
     warc.write(warc.captures(table(spark, sf_dir, "pages")), path)
     stored = F.col("record_type") == "response"
     return warc.read(spark, path).select(

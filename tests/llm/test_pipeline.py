@@ -1,8 +1,8 @@
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm import test_decontaminate as D
+from tests.llm import test_near as N
 from tests.llm import test_phrases as P
-from tests.llm import test_simhash as S
 from tests.llm.common import documents, save
 from tests.llm.test_tokens import ORACLE
 
@@ -13,11 +13,11 @@ def test_stages():
 
 
 def test_like_brute_force(spark, sf_dir):
-    """All documents here are in a learned language, and parameters in leaked passages are those of the item."""
+    """All documents here are in a learned language, and parameters in leaked passages are those of the item. Near copies are those whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 at least."""
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    groups = S.linked([S.plain(t) for _, t in docs], [d for d, _ in docs])
-    docs = [(d, t) for (d, t), g in zip(docs, groups) if d == g]
+    docs = [(d, t) for (d, t), least in zip(docs, N.linked(docs)) if d == least]
     left = P.brute(docs, 50)
     docs = [(d, t if len(left[d, t]) == len(t.split()) else b" ".join(left[d, t]).decode()) for d, t in docs]
     docs = [(d, t) for d, t in docs if t]
