@@ -13,7 +13,7 @@ repeated rows are encoded each for itself; other columns of the input are kept.
 from __future__ import annotations
 
 import base64
-from itertools import chain
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -44,10 +44,10 @@ class Codec:
             self.automaton.add_word(k, len(k))
         if self.ranks:
             self.automaton.make_automaton()
-        self.stable: dict[str, bool] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
+        self.stable: dict[int, bool] = {}
+        self.fits: dict[int, bool] = {}  # by both ids in one number
+        self.pieces: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.before: dict[str, bytes] = {}
 
     def merged(self, piece: str) -> list[str]:
         """The definition: merge the adjacent pair of lowest rank until none is left."""
@@ -63,24 +63,27 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def is_stable(self, token: str) -> bool:
+    def is_stable(self, token: str, rank: int) -> bool:
         """Whether the merges turn the token's bytes into that one token."""
-        known = self.stable.get(token)
+        known = self.stable.get(rank)
         if known is None:
-            known = self.stable[token] = self.merged(token) == [token]
+            known = self.stable[rank] = self.merged(token) == [token]
         return known
 
-    def is_pair(self, left: str, right: str) -> bool:
-        """Whether the merges of both tokens' bytes leave exactly these two tokens."""
-        known = self.fits.get((left, right))
+    def is_pair(self, left: int, right: int, token: str) -> bool:
+        """Whether the merges of both tokens' bytes leave exactly these two tokens, the second of which is ``token``."""
+        key = left * len(self.token) + right
+        known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= MEMO:
                 self.fits.clear()
-            known = self.fits[left, right] = self.merged(left + right) == [left, right]
+            first = self.token[left].decode("latin-1")
+            known = self.fits[key] = self.merged(first + token) == [first, token]
         return known
 
-    def walk(self, piece: str) -> list[str]:
-        """Tokens of a piece (Latin-1 characters) by backtracking from the longest matches."""
+    def walk(self, piece: str) -> list[int]:
+        """Ids of a piece (Latin-1 characters) by backtracking from the longest matches."""
+        ranks = self.ranks
         n = len(piece)
         lengths: list[list[int]] = [[] for _ in range(n)]
         for end, size in self.automaton.iter(piece):
@@ -97,7 +100,8 @@ class Codec:
                 if dead[at + size]:
                     continue
                 token = piece[at : at + size]
-                if self.is_stable(token) and (before is None or self.is_pair(before, token)):
+                rank = ranks[token]
+                if self.is_stable(token, rank) and (before is None or self.is_pair(before, rank, token)):
                     break
             else:
                 if not out:
@@ -109,23 +113,25 @@ class Codec:
                 at = starts[-1]
                 continue
             left[-1] = k
-            out.append(token)
+            out.append(rank)
             at += size
             starts.append(at)
             left.append(len(lengths[at]) if at < n else 0)
         return out
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
         whole = self.ranks.get(raw)
-        if whole is not None:
-            return (whole,)
-        return tuple(map(self.ranks.__getitem__, self.walk(raw)))
+        return array("i", self.walk(raw) if whole is None else (whole,)).tobytes()
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text: every match of the pattern by itself."""
-        out: list[int] = []
-        extend, get = out.extend, self.pieces.get
+        """Ids of a text."""
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 32-bit numbers: every match of the pattern by itself."""
+        out: list[bytes] = []
+        add, get = out.append, self.pieces.get
         for piece in self.split(text):
             ids = get(piece)
             if ids is None:
@@ -135,8 +141,8 @@ class Codec:
                         self.before, self.pieces = self.pieces, {}
                         get = self.pieces.get
                     self.pieces[piece] = ids
-            extend(ids)
-        return out
+            add(ids)
+        return b"".join(out)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -168,16 +174,16 @@ def encode(df: DataFrame, text: str = "text", rank_file: str | None = None, patt
         codec = memo(name, lambda: Codec(table.value, pattern))
         for batch in batches:
             rows = texts(batch, text)
-            for a, b in chunks(rows):
-                found = [codec.encode(x) for x in rows[a:b]]
-                sizes = np.fromiter(map(len, found), np.int32, b - a)
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+            for a, b in chunks(rows, 1 << 20):
+                found = [codec.packed(x) for x in rows[a:b]]
+                sizes = np.fromiter(map(len, found), np.int32, b - a) // 4
+                flat = np.frombuffer(b"".join(found), np.int32)
                 offsets = np.zeros(b - a + 1, np.int32)
                 np.cumsum(sizes, out=offsets[1:])
                 part = batch.slice(a, b - a)
                 columns = [part.column(n) for n in names] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
                 if decoded:
-                    columns.append(pa.array([codec.decode(x) for x in found], pa.binary()))
+                    columns.append(pa.array([codec.decode(np.frombuffer(x, np.int32).tolist()) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
     return map_arrow(df, run, schema, name)

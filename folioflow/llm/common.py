@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(folioflow)
 
 MASK64 = (1 << 64) - 1
 #: Rows and bytes of a batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bases of rolling hashes, any odd numbers.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Words of 64 bits in a bitmap of keys, at least and at most; a quarter as many as there are keys is wanted. As rows that is 4 to 34 MB.

@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 #: A learning document's vector is multiplied by this over the number of its trigrams, and rounded.
 WEIGHT = 1 << 24
 #: Letters that are bound at once, different trigrams that are added at once, labels whose sums a task keeps, labels that are learned at most.
-RUN, SLICE, KEPT, LANGUAGES = 1 << 19, 1 << 14, 256, 8192
+RUN, SLICE, KEPT, LANGUAGES = 1 << 19, 1 << 13, 256, 8192
 BLANK = 32
 
 
@@ -100,15 +100,16 @@ def _add(total: np.ndarray, owners: list[int], parts: list[np.ndarray]) -> None:
         column = there[code].astype(np.int64)
     else:
         codes, column = np.unique(code, return_inverse=True)
-    if len(codes) > SLICE:
+    many = len(codes) > 8 * SLICE  # few slices are found faster without an order
+    if many:
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
     vectors = letter_vectors(alphabet, dimensions)
     turned = np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1)
     for a in range(0, len(codes), SLICE):
         part = codes[a : a + SLICE]
-        i, j = np.searchsorted(column, (a, a + SLICE)) if len(codes) > SLICE else (0, len(column))
-        counts = np.bincount(row[i:j] * len(part) + column[i:j] - a, minlength=n * len(part)).reshape(n, len(part)).astype(np.float32)
+        here = slice(*np.searchsorted(column, (a, a + SLICE))) if many else slice(None) if len(codes) <= SLICE else (column >= a) & (column < a + SLICE)
+        counts = np.bincount(row[here] * len(part) + column[here] - a, minlength=n * len(part)).reshape(n, len(part)).astype(np.float32)
         bound = turned[0][part // (k * k)] * turned[1][part // k % k] * vectors[part % k]
         np.add.at(total, owners, counts @ bound.astype(np.float32))  # float32 holds the whole numbers of a run
 
