@@ -39,6 +39,20 @@ def test_memo_is_bounded(monkeypatch):
     assert small.encode(text) == ORACLE.encode_ordinary(text) and len(small.pieces) <= 3 and len(small.before) <= 3
 
 
+def test_lean_memo(monkeypatch):
+    """A piece is memoised when it comes again; the ids are those of the other memo, also when it was full."""
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN, lean=True)
+    codec.encode("qzxone qzxtwo qzxone")
+    assert codec.pieces.keys() <= {" qzxone", "qzxone", " qzxtwo"} and len(codec.pieces) < 3
+    codec.encode("qzxone qzxtwo qzxone")
+    assert {" qzxone", "qzxone", " qzxtwo"} == codec.pieces.keys()
+    monkeypatch.setattr(bpe, "LEAN", 3)
+    small = bpe.Codec(RANKS, public_tokenizers.PATTERN, lean=True)
+    for text in [*(t or "" for t in TEXTS), "one two three one four five six one two " * 5]:
+        assert small.encode(text) == small.encode(text) == ORACLE.encode_ordinary(text)
+    assert len(small.pieces) <= 3 and len(small.before) <= 3
+
+
 def test_other_vocabulary():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     codec, oracle = bpe.Codec(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("m", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -51,6 +65,8 @@ def test_column(spark):
     assert len(rows) == len(TEXTS) + 1 and {"doc_id", "score", "ids", "decoded"} <= set(rows[0].asDict())
     for r in rows:
         assert r.ids == ORACLE.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    lean = {r.doc_id: r.ids for r in bpe.encode(documents(spark), lean=True).collect()}
+    assert lean == {r.doc_id: r.ids for r in rows}
     assert bpe.encode(documents(spark).limit(0)).count() == 0
 
 
