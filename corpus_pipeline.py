@@ -3,8 +3,8 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents:
 
 1. Language ID: documents without a letter, or in no language that the labelled ones teach, go.
-2. Near-dedup: of documents linked by a similarity of 0.8 of their five-word shingles, one stays. Fingerprints of SimHash miss most
-   such pairs, so the stage, which keeps its name, finds them by shingles.
+2. Near-dedup: of documents linked by a similarity of 0.8 of their five-word shingles, one stays. SimHash fingerprints
+   find them, confirmed by the shingles; the pairs that fingerprints leave are found by the shingles alone.
 3. Substring dedup: passages that a document with a smaller id holds are cut out; a document that loses every word goes.
 4. Benchmark decontamination: documents that hold a benchmark item go.
 5. Byte-level BPE: token ids, and the text as it is decoded from them.

@@ -1,13 +1,16 @@
 """Near-duplicate groups by the Jaccard similarity of word shingles, with no pair missed.
 
 A text is the set of its runs of ``SHINGLE`` words (words as for the SimHash fingerprint). Two texts are linked if their sets'
-similarity is at least ``SIMILARITY``. Fingerprints of 64 bits can't find such pairs (they are up to a dozen bits apart), so
-pairs are found by prefixes: if all shingles have one order, and each text keeps the first n - ceil(0.8 n) + 1 of its n, then
+similarity is at least ``SIMILARITY``.
+
+First SimHash fingerprints of the sets find pairs by multi-index hashing (``simhash.candidates``); those whose sets are similar are links.
+Fingerprints find a pair with some probability only, so what they leave is completed by prefixes: if all shingles have one order, and each text keeps the first n - ceil(0.8 n) + 1 of its n, then
 two similar texts share one that they keep. Any order is right; here shingles that are frequent in a sample come last, the others
-go by hash, so that common lines bring few texts together.
+go by hash, so that common lines bring few texts together. Texts that
+fingerprints have already connected aren't compared again.
 
 Texts that share enough of the kept shingles for that similarity are compared by their whole sets, computed anew for only those texts. Where more than ``BUCKET``
-share one, all are first compared with one of them, the pivot; those similar to it are linked to it and so with each other. The
+share one, all are first compared with one of them, the pivot; those similar to it, or connected with it, are linked to it and so with each other. The
 others are dealt into blocks, each of which meets every block of all in a task, and of the pairs found only those leave it that
 connect the same texts. All comparisons are exact; nothing is capped. So a group of near copies of one text costs as much as its
 size, however large; work grows with the product of those that aren't like the pivot and all that keep the shingle.
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 
 from folioflow.llm.common import bitmap, cut, map_arrow, split, spread_join, texts
 from folioflow.llm.components import components
-from folioflow.llm.simhash import keep_first
+from folioflow.llm.simhash import candidates, keep_first, segment_bits, wide
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -92,23 +95,26 @@ def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def prefixes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep``, ``fp`` (hash of the set), ``n`` (its size) and ``keys`` (the prefix) of every row."""
+def prefixes(docs: DataFrame, text: str, keep: list[str], bits: int) -> DataFrame:
+    """``keep``, ``fp`` (hash of the set), ``n`` (its size), ``keys`` (the prefix), ``print`` and ``marks`` (its SimHash, with segments of so many bits) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, text))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()),
-                           T.StructField("keys", T.ArrayType(T.LongType()))])
+                           T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("print", T.LongType()), T.StructField("marks", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         last, counts = sent.value
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            fps, sizes, keys, words, marks = [], [], [], [], []
             for x in texts(batch, text):
                 hashes = shingles(x)
                 fps.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
                 sizes.append(len(hashes))
                 keys.append(prefix(hashes, last, counts))
+                word, mark = wide(hashes, bits)
+                words.append(word)
+                marks.append(mark)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                                              pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+                                              pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.int64()), pa.array(marks, pa.list_(pa.int32()))], names=schema.names)
 
     return map_arrow(docs.select(*keep, text), run, schema)
 
@@ -125,6 +131,26 @@ def sets(docs: DataFrame, text: str) -> DataFrame:
     return map_arrow(docs.select("fp", text), run, schema)
 
 
+def wholes(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``fp`` and ``hashes`` of the ``wanted`` (``fp``, ``row``: the hash of a row of ``docs``, its ``__row_``)."""
+    maybe, _ = split(docs.select("__row_", text), "__row_", bitmap(wanted, "row"))
+    return cut(sets(maybe.dropDuplicates(["__row_"]).join(wanted, F.col("__row_") == F.col("row")), text))
+
+
+def confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose whole sets are similar."""
+    over, under = SIMILARITY
+    first, second = whole.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), whole.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+    return pairs.select("a", "b").join(first, "a").join(second, "b").where(f"{over + under} * size(array_intersect(x, y)) >= {over} * (size(x) + size(y))").select("a", "b")
+
+
+def print_links(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Edges ``a``, ``b`` between similar nodes that their fingerprints find (``fp``, ``print``, ``marks``, ``row``)."""
+    pairs = cut(candidates(nodes.select("fp", "print", "marks")))
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    return cut(confirmed(pairs, wholes(cut(nodes.select("fp", "row").join(ends, "fp")), docs, text)))
+
+
 def connect(frame: pd.DataFrame) -> pd.DataFrame:
     """Links ``a``, ``b`` that connect the similar ones of some sets: no more than there are sets."""
     frame = frame.drop_duplicates("fp")
@@ -157,33 +183,32 @@ def connect(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def links(nodes: DataFrame, docs: DataFrame, text: str, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """Edges ``a``, ``b`` that connect all similar nodes (``fp``, ``n``, ``keys``, ``row``: the hash of a row of ``docs``, its ``__row_``)."""
+def links(nodes: DataFrame, docs: DataFrame, text: str, known: DataFrame, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """Edges ``a``, ``b`` that, with those known, connect all similar nodes (``fp``, ``n``, ``keys``, ``row``: the hash of a row of ``docs``, its ``__row_``).
+
+    ``known`` has the ``root`` of each ``fp`` that other edges connect."""
     rows = nodes.selectExpr("fp", "n", "row", "explode(keys) AS key")
-    shared = cut(rows.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1"))
+    shared = rows.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1")
+    shared = cut(shared.join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     cold, hot = shared.where(F.col("many") <= bucket), shared.where(F.col("many") > bucket)
     over, under = SIMILARITY
-    other = cold.select("key", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("row").alias("row_b"))
-    pairs = cold.join(other, "key").where(f"fp < b AND {under} * least(n, m) >= {over} * greatest(n, m)")
+    other = cold.select("key", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("row").alias("row_b"), F.col("root").alias("root_b"))
+    pairs = cold.join(other, "key").where(f"fp < b AND root != root_b AND {under} * least(n, m) >= {over} * greatest(n, m)")
     pairs = pairs.groupBy(F.col("fp").alias("a"), "b", "n", "m", "row", "row_b").agg(F.count("*").alias("c"))
     # Of the text whose prefix ends first all shared ones in it are counted, so no more than the rest can follow.
     # (A pair that also shares a hot shingle is counted short, and compared for that.)
     rest = lambda n: f"({over} * {n} + {under - 1}) div {under} - 1"
     pairs = cut(pairs.where(f"{over + under} * (c + greatest({rest('n')}, {rest('m')})) >= {over} * (n + m)").drop("c"))
     wanted = cut(pairs.selectExpr("a AS fp", "row").unionByName(pairs.selectExpr("b AS fp", "row_b AS row")).unionByName(hot.select("fp", "row")).distinct())
-    maybe, _ = split(docs.select("__row_", text), "__row_", bitmap(wanted, "row"))
-    chosen = maybe.dropDuplicates(["__row_"]).join(wanted, F.col("__row_") == F.col("row"))
-    whole = cut(sets(chosen, text))
-    first, second = whole.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), whole.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
-    near = pairs.select("a", "b", "n", "m").join(first, "a").join(second, "b").where(
-        f"{over + under} * size(array_intersect(x, y)) >= {over} * (n + m)").select("a", "b")
+    whole = wholes(wanted, docs, text)
+    near = confirmed(pairs, whole)
     # In a full bucket all meet the pivot. What is told of a bucket goes to each of its salts, so no task gets a large one.
     salts = f"CAST(ceil(many / {block}) AS BIGINT)"
-    salted = hot.selectExpr("fp", "key", "many", f"pmod(xxhash64(fp), {salts}) AS salt")
-    pivots = hot.groupBy("key").agg(F.min("fp").alias("fp"), F.first("many").alias("many")).join(whole, "fp").selectExpr(
-        "key", "fp AS pivot", "hashes AS center", f"explode(sequence(0L, {salts} - 1)) AS salt")
+    salted = hot.selectExpr("fp", "key", "many", "root", f"pmod(xxhash64(fp), {salts}) AS salt")
+    pivots = hot.groupBy("key").agg(F.min("fp").alias("fp"), F.min_by("root", "fp").alias("center_root"), F.first("many").alias("many")).join(whole, "fp").selectExpr(
+        "key", "fp AS pivot", "center_root", "hashes AS center", f"explode(sequence(0L, {salts} - 1)) AS salt")
     known = salted.join(whole, "fp").join(pivots, ["key", "salt"]).withColumn("like", F.expr(
-        f"{over + under} * size(array_intersect(hashes, center)) >= {over} * (size(hashes) + size(center))"))
+        f"root = center_root OR {over + under} * size(array_intersect(hashes, center)) >= {over} * (size(hashes) + size(center))"))
     known = cut(known.select("fp", "key", "salt", "pivot", "many", "like"))
     by_pivot = known.where("like AND fp != pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
     # Every block of the others meets each block of the bucket once; those like the pivot needn't meet each other.
@@ -200,12 +225,15 @@ def links(nodes: DataFrame, docs: DataFrame, text: str, bucket: int = BUCKET, bl
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group: that of the smallest doc_id, of several such that of the smallest text hash, once."""
     docs = docs.withColumn("__row_", F.xxhash64(doc_id, text))
-    prints = cut(prefixes(docs, text, [doc_id, "__row_"]))
+    prints = cut(prefixes(docs, text, [doc_id, "__row_"], segment_bits(docs.count())))
     # Only the prefixes of sets that repeat are shuffled to leave one.
     often, once = split(prints, "fp", bitmap(cut(prints.groupBy("fp").count().where("count > 1")), "fp"))
-    nodes = often.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("__row_").alias("row")).unionByName(
-        once.select("fp", "n", "keys", F.col("__row_").alias("row")))
-    found = components(links(nodes, docs, text), "a", "b").withColumnRenamed("node", "fp")
+    told = ["n", "keys", "print", "marks"]
+    nodes = often.groupBy("fp").agg(*(F.first(c).alias(c) for c in told), F.min("__row_").alias("row")).unionByName(
+        once.select("fp", *told, F.col("__row_").alias("row")))
+    near = print_links(nodes, docs, text)
+    rest = links(nodes, docs, text, components(near, "a", "b").withColumnRenamed("node", "fp"))
+    found = components(near.unionByName(rest), "a", "b").withColumnRenamed("node", "fp")
     many = prints.groupBy("fp").agg(F.count("*").alias("__n_"))
     roots = cut(many.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     return keep_first(docs, cut(spread_join(prints.select("fp", doc_id, "__row_"), roots, "fp", "__n_")), doc_id).drop("__row_")

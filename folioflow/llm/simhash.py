@@ -13,6 +13,11 @@ has less than a hundred members, so the links stay whole and the groups small.
 
 Equal fingerprints are one node of the graph, so a group of copies costs as much as one document.
 
+Near copies that share less (see ``near``) are a dozen and more bits of 64 apart, too far for balls. For them a fingerprint goes
+on beyond its first word, in ``SEGMENTS`` segments that are a table each. Fingerprints that agree in a whole segment are
+candidates if their first words differ in ``RADIUS`` bits at most. Segments grow with the number of fingerprints, so that
+chance brings few together. In a bucket each meets the next ``FOLLOWING`` in the order of the first words only; ``near`` has an exact way for the rest.
+
 Defined results: null and empty texts have no words and the fingerprint zero, linked like any other;
 repeated rows link with each other; rows with a null doc_id take part but name no group, a group without
 any doc_id has a null component; an empty table gives no rows; other columns aren't carried.
@@ -29,12 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import bitmap, cut, map_arrow, split, spread_join, texts
+from folioflow.llm.common import BASES, bitmap, cut, map_arrow, mix64, split, spread_join, texts
 from folioflow.llm.components import components
 
 SHINGLE = 3
 LOW_BITS = 35
 BUCKET = 64
+#: Of the long fingerprint: its segments, most bits by which the first words of candidates differ, and how many next ones each meets in a bucket.
+SEGMENTS, RADIUS, FOLLOWING = 32, 20, 3
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -92,6 +99,40 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(meets).distinct()
 
 
+def segment_bits(n: int) -> int:
+    """Bits of a segment for so many fingerprints: unequal ones share it by chance with less than one other."""
+    return min(30, max(16, n.bit_length() + 1))
+
+
+def wide(hashes: np.ndarray, bits: int) -> tuple[int, np.ndarray]:
+    """First word and segments of a long fingerprint: bits set in over half of the hashes, which are mixed anew for each further word."""
+    words = 1 + -(-SEGMENTS * bits // 64)
+    steps = np.arange(words, dtype=np.uint64) * np.uint64(BASES[0])
+    counts = np.zeros(words * 64, np.int64)
+    for a in range(0, len(hashes), 255 * 16):
+        part = hashes[a : a + 255 * 16].view(np.uint64)
+        mixed = mix64(part[:, None] + steps)
+        mixed[:, 0] = part
+        # Eight counts are added at once, as bytes of a long, which 255 rows can't overflow.
+        lanes = np.unpackbits(mixed.view(np.uint8).reshape(-1), bitorder="little").view(np.uint64).reshape(len(part), -1)
+        counts += np.add.reduceat(lanes, np.arange(0, len(part), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
+    over = counts * 2 > len(hashes)
+    return int(np.packbits(over[:64], bitorder="little").view(np.int64)[0]), over[64 : 64 + SEGMENTS * bits].reshape(SEGMENTS, bits) @ (1 << np.arange(bits))
+
+
+def candidates(prints: DataFrame, radius: int = RADIUS, following: int = FOLLOWING) -> DataFrame:
+    """Pairs ``a``, ``b`` of different ``fp`` that agree in one of ``marks``, the segments, and whose ``print``, the first word, differs in ``radius`` bits at most.
+
+    In a bucket each meets the next ones in the order of ``print``, so work grows with the members, however many.
+    """
+    rows = prints.selectExpr("fp", "print", "posexplode(marks) AS (place, mark)").selectExpr("fp", "print", "shiftleft(CAST(place AS BIGINT), 32) | mark AS key")
+    order = Window.partitionBy("key").orderBy("print", "fp")
+    nexts = [F.lead(F.struct("fp", "print"), i).over(order) for i in range(1, following + 1)]
+    near = f"filter(nexts, x -> x IS NOT NULL AND bit_count(x.print ^ print) <= {radius})"
+    met = rows.withColumn("nexts", F.array(*nexts)).where("nexts[0] IS NOT NULL").selectExpr("fp", f"explode({near}) AS other")
+    return met.selectExpr("least(fp, other.fp) AS a", "greatest(fp, other.fp) AS b").distinct()
+
+
 def groups(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``prints`` with ``component_id``, the smallest doc_id reachable over links of ``fp``, and ``root``, a name of the group."""
     prints = cut(prints)

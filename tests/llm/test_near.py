@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from folioflow.llm import near as N
+from folioflow.llm import simhash as S
 
 
 def plain(text):
@@ -83,3 +84,28 @@ def test_stage_removes_near_copies(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, sf_dir).collect()} == set(linked(rows))
+
+
+def test_fingerprints_link_before_shingles(spark, monkeypatch):
+    """Without the completion by shingles, what stays linked is what the stage's SimHash fingerprints found."""
+    rand = random.Random(7)
+    rows = []
+    for g in range(5):
+        base = [f"w{rand.randrange(10**6)}" for _ in range(200)]
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base[:100] + ["other"] + base[101:])), (10 * g + 2, " ".join(base[1:190]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(N, "links", lambda nodes, *rest: spark.createDataFrame([], "a long, b long"))
+    kept = corpus_pipeline.simhash_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(linked(rows))) == [0, 10, 20, 30, 40]
+
+
+@pytest.mark.parametrize("bucket,block", [(64, 512), (2, 8)])
+def test_shingles_find_what_fingerprints_leave(spark, monkeypatch, bucket, block):
+    """No fingerprint finds anything, or each finds some: the groups are the same."""
+    monkeypatch.setattr(N.links, "__defaults__", (bucket, block))
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(set(linked(rows)))
+    for radius in (-1, 5):
+        monkeypatch.setattr(N, "candidates", lambda prints: S.candidates(prints, radius))
+        assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == want

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -105,3 +106,37 @@ def test_keep_one(spark):
     kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("own")))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, rows[0][1]), (2, rows[3][1]), (4, "alone"), (5, None)]
     assert kept.columns == ["doc_id", "text", "fp"]
+
+
+def test_wide():
+    rand = np.random.default_rng(3)
+    for n, bits in ((1, 16), (2, 16), (254, 17), (255, 30), (256, 19), (9000, 21)):
+        hashes = rand.integers(-(1 << 63), 1 << 63, n, np.int64)
+        words = [hashes.view(np.uint64)] + [S.mix64(hashes.view(np.uint64) + np.uint64(j * S.BASES[0] & (1 << 64) - 1)) for j in range(1, 1 + -(-S.SEGMENTS * bits // 64))]
+        plain = [2 * int((w >> np.uint64(b) & np.uint64(1)).sum()) > n for w in words for b in range(64)]
+        word, marks = S.wide(hashes, bits)
+        assert word == signed(sum(1 << b for b in range(64) if plain[b]))
+        assert marks.tolist() == [sum(1 << b for b in range(bits) if plain[64 + i * bits + b]) for i in range(S.SEGMENTS)]
+    assert [S.segment_bits(n) for n in (0, 1000, 1 << 17, 1 << 24, 1 << 40)] == [16, 16, 19, 26, 30]
+
+
+@pytest.mark.parametrize("following", [1, 3, 40])
+def test_candidates(spark, following):
+    rand = random.Random(following)
+    rows = []
+    for g in range(4):
+        word, marks = rand.getrandbits(64), [rand.randrange(1 << 16) for _ in range(S.SEGMENTS)]
+        for _ in range(12):
+            x = word
+            for _ in range(rand.randrange(16)):
+                x ^= 1 << rand.randrange(64)
+            rows.append((signed(rand.getrandbits(64)), signed(x), [m if rand.random() < 0.2 else rand.randrange(1 << 16) for m in marks]))
+    rows.append((5, rows[0][1], rows[0][2]))
+    got = sorted(tuple(r) for r in S.candidates(spark.createDataFrame(rows, "fp long, print long, marks array<int>"), 20, following).collect())
+    want = set()
+    for p in range(S.SEGMENTS):
+        for mark in {r[2][p] for r in rows}:
+            members = sorted((x, a) for a, x, marks in rows if marks[p] == mark)
+            for i, (x, a) in enumerate(members):
+                want |= {(min(a, b), max(a, b)) for y, b in members[i + 1 : i + 1 + following] if ((x ^ y) & (1 << 64) - 1).bit_count() <= 20}
+    assert got == sorted(want) and len(want) > 30
